@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import syntax
+from . import generated, syntax
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,5 +28,19 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(syntax.verdicts(table(spark, d, "parsed_files")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_report, p4_rates)}
+def _not_hand_written(spark: SparkSession, d: str) -> DataFrame:
+    return generated.not_hand_written(table(spark, d, "parsed_files"), table(spark, d, "scan_config"), table(spark, d, "upstream_files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _not_hand_written(spark, d).select("file_id")
+
+
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Files by repository and by why they are not hand-written."""
+    files = table(spark, d, "parsed_files").select("file_id", "repo_id").distinct()
+    return files.join(_not_hand_written(spark, d), "file_id").groupBy("repo_id", "reason").count().withColumnRenamed("count", "files")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_report, p4_rates, p5_found, p5_reasons)}
 SQL: dict[str, str] = {}
