@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage, and their SQL."""
 
-from . import pipeline
+from . import pipeline, reference, reference_sql
 
-QUERIES = {**pipeline.QUERIES}
-SQL = {**pipeline.SQL}
+QUERIES = {**reference.QUERIES, **pipeline.QUERIES}
+SQL = {**reference_sql.SQL, **pipeline.SQL}
