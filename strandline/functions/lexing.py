@@ -34,12 +34,25 @@ class LexError(Exception):
 
 
 class Tokens:
-    """kinds[i] is the kind of the token at text[starts[i]:ends[i]]."""
+    """kinds[i] is the kind of the token at text[starts[i]:ends[i]]. The offsets may be given as a function that makes them."""
 
-    __slots__ = ("text", "kinds", "starts", "ends", "comments")
+    __slots__ = ("text", "kinds", "_at")
 
-    def __init__(self, text, kinds, starts, ends, comments):
-        self.text, self.kinds, self.starts, self.ends, self.comments = text, kinds, starts, ends, comments
+    def __init__(self, text, kinds, at):
+        self.text, self.kinds, self._at = text, kinds, at
+
+    def _offsets(self):
+        if callable(self._at):
+            self._at = self._at()
+        return self._at
+
+    @property
+    def starts(self) -> list[int]:
+        return self._offsets()[0]
+
+    @property
+    def ends(self) -> list[int]:
+        return self._offsets()[1]
 
     def word(self, i: int) -> str:
         return self.text[self.starts[i] : self.ends[i]]
@@ -83,7 +96,7 @@ _PY_END = {q: re.compile(r"(?:[^\\" + q[0] + (r"\r\n]" if len(q) == 1 else "]")
 _PY_INDENT = re.compile(r"(?:[ \t\f]*(?:#[^\r\n]*)?(?:\r\n|\n|\r))*+([ \t\f]*)")
 
 
-def lex_python(text: str) -> Tokens:
+def _lex_python_slow(text: str) -> Tokens:
     kinds, starts, ends = [], [], []
     pos, n, depth, indents = 1 if text[:1] == "\ufeff" else 0, len(text), 0, [(0, 0)]
     stack: list[str] = []
@@ -263,7 +276,118 @@ def lex_python(text: str) -> Tokens:
     for _ in indents[1:]:
         put(DEDENT, n, n)
     put(EOF, n, n)
-    return Tokens(text, "".join(kinds), starts, ends, [])
+    return Tokens(text, "".join(kinds), (starts, ends))
+
+
+_PY_NEWLINE = r"(?:[ \t]*(?:#[^\r\n]*)?\r?\n)+[ \t]*+"
+_PY_FAST = re.compile(
+    rf"(?:[ \t]|\\\r?\n)*+([^\W\d]\w*+(?![\"'])|{_PY_NEWLINE}|[(),.\[\]](?![.\d])|[:=]=?"
+    rf"|(?:[rRbBuU]|[bB][rR]|[rR][bB])?(?:\"\"\"(?:[^\\\"]|\\(?s:.)|\"(?!\"\"))*+\"\"\"|'''(?:[^\\']|\\(?s:.)|'(?!''))*+'''|\"(?!\"\")(?:[^\"\\\r\n]|\\.)*+\"|'(?!'')(?:[^'\\\r\n]|\\.)*+')"
+    rf"|[fF](?:\"(?!\"\")(?:[^\"\\\r\n{{}}]|\{{\{{|\}}\}}|\{{[^\"\\\r\n{{}}]*\}})*+\"|'(?!'')(?:[^'\\\r\n{{}}]|\{{\{{|\}}\}}|\{{[^'\\\r\n{{}}]*\}})*+')|(?:[fF][rR]?|[rR][fF])[\"']|{WORD}|{_PY_NUMBER}\w*|{_ops(PYTHON_OPS)}|(?s:.))"
+)
+_PY_PLAIN = re.compile(rf"(?:(?:0|[1-9](?:_?\d)*)(?:\.\d+)?|\d+\.\d*|\.\d+|0[xX][0-9a-fA-F]+)")
+#: Stand-ins in the fast lexer: a line's end, and what it leaves to the slow one.
+_BREAK, _ODD = "\n", "\0"
+_OPENS, _CLOSES = [kind(c) for c in "([{"], [kind(c) for c in ")]}"]
+
+
+class _PythonKinds(dict):
+    """Kinds of words by their text; those of names, literals and f-strings are found once."""
+
+    def __missing__(self, w: str) -> str:
+        c = w[0]
+        if w[-1] in " \t\n" or c in "#\r\n":
+            return _BREAK
+        if c.isalpha() or c == "_":
+            if w[-1] in "\"'":
+                return self._literal(w)
+            k = NAME
+        elif c in "\"'" and len(w) > 1:
+            return STRING
+        else:
+            k = NUMBER if _PY_PLAIN.fullmatch(w) else _ODD
+        if len(self) > 400_000:
+            self.clear()
+            self.update(PYTHON)
+        self[w] = k
+        return k
+
+    def _literal(self, w: str) -> str:
+        if "f" not in w[:2].lower() or w[0] in "\"'":
+            return STRING
+        if len(w) < 3:
+            return _ODD
+        out = [FSTART]
+        for field in _PY_FIELD.findall(w, 2, len(w) - 1):
+            if field[0] == "{" != field[1]:
+                out += FOPEN, self._field(field[1:-1]), FCLOSE
+        k = "".join(out) + FEND
+        return _ODD if _ODD in k else k
+
+    def _field(self, code: str) -> str:
+        """Kinds of a field that is a plain expression."""
+        k = self._fields.get(code)
+        if k is None:
+            words = _PY_FAST.findall(code)
+            odd = any(x in ":!=\\" or x[0] in "\"'#\r\n" for x in words)
+            k = self._fields[code] = _ODD if odd or not code.strip() else "".join(map(self.__getitem__, words))
+            if len(self._fields) > 100_000:
+                self._fields.clear()
+        return k
+
+    _fields: dict[str, str] = {}
+
+
+_PY_FIELD = re.compile(r"\{\{|\}\}|\{[^{}]*\}|\\.")
+_PY_KINDS = _PythonKinds({**PYTHON, "!=": kind("!=")})
+
+
+def lex_python(text: str) -> Tokens:
+    """Words by one pattern, then line by line the brackets and indents; whatever is out of the ordinary goes to the slow lexer."""
+    if "\t" in text or "\f" in text or text[:1] in " \ufeff" or "\r" in text.replace("\r\n", ""):
+        return _lex_python_slow(text)
+    whole = text if text.endswith("\n") else text + "\n"
+    words = _PY_FAST.findall(whole)
+    kinds = list(map(_PY_KINDS.__getitem__, words))
+    if _ODD in kinds:
+        return _lex_python_slow(text)
+    indents, depth, seen, start, last = [0], 0, False, 0, len(words) - 1
+    for i in [i for i, k in enumerate(kinds) if k == _BREAK]:
+        line = "".join(kinds[start:i])
+        start = i + 1
+        if line:
+            seen = True
+            depth += sum(map(line.count, _OPENS)) - sum(map(line.count, _CLOSES))
+        if depth:
+            kinds[i] = ""
+            continue
+        piece = NEWLINE if seen else ""
+        seen = False
+        w = words[i]
+        col = len(w) - 1 - w.rfind("\n") if i < last else 0
+        if col > indents[-1]:
+            indents.append(col)
+            piece += INDENT
+        else:
+            while col < indents[-1]:
+                indents.pop()
+                piece += DEDENT
+            if col != indents[-1]:
+                return _lex_python_slow(text)
+        kinds[i] = piece
+    if depth:
+        return _lex_python_slow(text)
+
+    def offsets():
+        starts, ends = [], []
+        for m, k in zip(_PY_FAST.finditer(whole), kinds):
+            a, b = m.span(1)
+            for _ in k:
+                starts.append(a)
+                ends.append(b)
+        return starts + [len(text)] * len(indents), ends + [len(text)] * len(indents)
+
+    return Tokens(text, "".join(kinds) + DEDENT * (len(indents) - 1) + EOF, offsets)
 
 
 _JS_NUMBER = r"0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:\d(?:_?\d)*n|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][-+]?\d(?:_?\d)*)?)"
@@ -452,7 +576,7 @@ def lex_script(text: str, jsx: bool = False) -> Tokens:
     kinds.append(chr(ord(EOF) + 1))
     starts.append(n)
     ends.append(n)
-    return Tokens(text, "".join(kinds), starts, ends, [])
+    return Tokens(text, "".join(kinds), (starts, ends))
 
 
 _C_COMMENTS = r"\s*+(?:(?://[^\n]*|/\*(?s:.*?)\*/)\s*+)*+"
@@ -501,7 +625,7 @@ def _lex_plain(pattern: re.Pattern, table: dict[str, str], text: str) -> Tokens:
     kinds.append(EOF)
     starts.append(len(text))
     ends.append(len(text))
-    return Tokens(text, "".join(kinds), starts, ends, [])
+    return Tokens(text, "".join(kinds), (starts, ends))
 
 
 def lex_java(text: str) -> Tokens:
@@ -560,7 +684,7 @@ def lex_rust(text: str) -> Tokens:
     kinds.append(EOF)
     starts.append(n)
     ends.append(n)
-    return Tokens(text, "".join(kinds), starts, ends, [])
+    return Tokens(text, "".join(kinds), (starts, ends))
 
 
 def lex_go(text: str) -> Tokens:
@@ -599,7 +723,7 @@ def lex_go(text: str) -> Tokens:
     kinds.append(EOF)
     starts.append(len(text))
     ends.append(len(text))
-    return Tokens(text, "".join(kinds), starts, ends, [])
+    return Tokens(text, "".join(kinds), (starts, ends))
 
 
 #: The language of each extension.
