@@ -248,22 +248,27 @@ class Grammar:
                         d += 1
                     emit(y, d, certain and not i)
                 return None
-            s, m = f"s{next(number)}", f"m{next(number)}"
+            s = f"s{next(number)}"
+            # nodes that began at or after s belong to what has just failed
+            drop = f"while T and T[-1][1] >= {s}: T.pop()"
             if k == "alt":
-                out(d, f"{s} = p; {m} = len(T); p = -1")
+                out(d, f"{s} = p; p = -1")
                 for i, y in enumerate(x[1]):
                     out(d, "if p < 0:" if i else "if True:")
                     out(d + 1, f"p = {s}")
-                    if i:
-                        out(d + 1, f"if len(T) > {m}: del T[{m}:]")
                     c = None if slow else starts(y)
                     if c:
                         out(d + 1, f"if {c}:")
                         emit(y, d + 2, True)
+                        if not self._is_regular(y):
+                            out(d + 2, "if p < 0:")
+                            out(d + 3, drop)
                         out(d + 1, "else: p = -1")
                     else:
                         emit(y, d + 1)
-                out(d, f"if p < 0 and len(T) > {m}: del T[{m}:]")
+                        if not self._is_regular(y):
+                            out(d + 1, "if p < 0:")
+                            out(d + 2, drop)
             elif k in ("opt", "star", "plus"):
                 if k == "plus":
                     emit(x[1], d)
@@ -271,58 +276,65 @@ class Grammar:
                     d += 1
                 c = None if slow else starts(x[1])
                 out(d, f"{'if' if k == 'opt' else 'while'} {c or 'True'}:")
-                out(d + 1, f"{s} = p; {m} = len(T)")
+                out(d + 1, f"{s} = p")
                 emit(x[1], d + 1, bool(c))
                 out(d + 1, f"if p < 0{'' if k == 'opt' else f' or p == {s}'}:")
                 out(d + 2, f"p = {s}")
-                out(d + 2, f"if len(T) > {m}: del T[{m}:]")
+                if not self._is_regular(x[1]):
+                    out(d + 2, drop)
                 if k != "opt":
                     out(d + 2, "break")
             else:
-                out(d, f"{s} = p; {m} = len(T)" + ("; hush[0] += 1" if slow and k == "not" else ""))
+                out(d, f"{s} = p" + ("; hush[0] += 1" if slow and k == "not" else ""))
                 emit(x[1], d)
                 if slow and k == "not":
                     out(d, "hush[0] -= 1")
-                out(d, f"if len(T) > {m}: del T[{m}:]")
+                if not self._is_regular(x[1]):
+                    out(d, drop)
                 out(d, f"p = {s} if p {'>=' if k == 'and' else '<'} 0 else -1")
             return None
 
-        out(0, "def parse(k, T, far, hush):")
         if slow:
-            out(1, "def want(p, s):")
-            out(2, "if s is None and p < len(k) - 1 or s is not None and k[p] in s: return p + 1")
-            out(2, "if not hush[0] and p >= far[0]:")
-            out(3, "if p > far[0]: far[0] = p; far[1] = set()")
-            out(3, "far[1] |= s or set()")
-            out(2, "return -1")
-        for n, x in self.rules.items():
-            how = self.how[n]
-            if how == "=":
-                continue
-            out(1, f"M_{n} = {{}}")
-            out(1, f"def r_{n}(p):")
-            out(2, f"e = M_{n}.get(p)")
-            out(2, "if e is not None:")
-            out(3, "if e.__class__ is int: return e")
-            out(3, "T.extend(e[1]); return e[0]")
-            out(2, "s0 = p; m0 = len(T)")
+            out(0, "def want(p, s):")
+            out(1, "if s is None and p < len(k) - 1 or s is not None and k[p] in s: return p + 1")
+            out(1, "if not hush[0] and p >= far[0]:")
+            out(2, "if p > far[0]: far[0] = p; far[1] = set()")
+            out(2, "far[1] |= s or set()")
+            out(1, "return -1")
+        named = [n for n in self.rules if self.how[n] != "="]
+        for n in named:
+            x, how = self.rules[n], self.how[n]
+            out(0, f"M_{n} = {{}}")
+            out(0, f"def r_{n}(p):")
+            out(1, f"e = M_{n}.get(p)")
+            out(1, "if e is not None:")
+            out(2, "if e.__class__ is int: return e")
+            out(2, "T.extend(e[1]); return e[0]")
+            out(1, "s0 = p; m0 = len(T)")
             if how == "~" and not slow:
-                out(2, f"t = k.find({self.terminator!r}, p, p + 64) + 1")
-                out(2, "g = k[p:t] if t else ''")
-                out(2, "if g and g in C: return t")
-            emit(x, 2)
-            out(2, "if p < 0:")
-            out(3, "if len(T) > m0: del T[m0:]")
-            out(3, f"M_{n}[s0] = -1")
-            out(3, "return -1")
+                out(1, f"t = k.find({self.terminator!r}, p, p + 64) + 1")
+                out(1, "g = k[p:t] if t else ''")
+                out(1, "if g and g in C: return t")
+            emit(x, 1)
+            out(1, "if p < 0:")
+            out(2, "if len(T) > m0: del T[m0:]")
+            out(2, f"M_{n}[s0] = -1")
+            out(2, "return -1")
             if how == ":=":
-                out(2, f"T.append(({n!r}, s0, p))")
-            out(2, f"M_{n}[s0] = p if len(T) == m0 else (p, tuple(T[m0:]))")
+                out(1, f"T.append(({n!r}, s0, p))")
+            out(1, f"M_{n}[s0] = p if len(T) == m0 else (p, tuple(T[m0:]))")
             if how == "~" and not slow:
-                out(2, "if g and p == t and len(T) == m0 and len(C) < 200000: C.add(g)")
-            out(2, "return p")
-        out(1, f"return r_{self.start}(0)")
-        scope = {**consts, "C": set()}
+                out(1, "if g and p == t and len(T) == m0 and len(C) < 200000: C.add(g)")
+            out(1, "return p")
+        # one text at a time: what a parse works on is global to the grammar's own scope
+        out(0, "def parse(kinds, nodes, furthest, hushed):")
+        out(1, "global k, T, far, hush")
+        out(1, "k, T, far, hush = kinds, nodes, furthest, hushed")
+        out(1, "try:")
+        out(2, f"return r_{self.start}(0)")
+        out(1, "finally:")
+        out(2, "; ".join(f"M_{n}.clear()" for n in named))
+        scope = {**consts, "C": set(), "k": "", "T": [], "far": None, "hush": None}
         exec(compile("\n".join(self.lines), "<grammar>", "exec"), scope)
         return scope["parse"]
 

@@ -10,6 +10,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from collections.abc import Iterator
@@ -66,8 +67,14 @@ def _cause(content: str, at: int, cause: str) -> str:
     return "truncated" if not content[at:].strip() else cause
 
 
-def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _settle() -> None:
+    """Parsing makes many short-lived tuples and no cycles, so the collector may look less often."""
     sys.setrecursionlimit(DEPTH)
+    gc.set_threshold(100_000, 50, 100)
+
+
+def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    _settle()
     seen: dict = {}
     for b in batches:
         rows = []
@@ -97,7 +104,7 @@ def rates(judged: DataFrame) -> DataFrame:
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(DEPTH)
+    _settle()
     seen: dict = {}
     for b in batches:
         rows = []
