@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage, and their SQL."""
 
-from . import pipeline, reference, reference_sql
+from . import io, pipeline, reference, reference_sql
 
-QUERIES = {**reference.QUERIES, **pipeline.QUERIES}
-SQL = {**reference_sql.SQL, **pipeline.SQL}
+QUERIES = {**reference.QUERIES, **io.QUERIES, **pipeline.QUERIES}
+SQL = {**reference_sql.SQL, **io.SQL, **pipeline.SQL}
