@@ -408,7 +408,7 @@ def lex_script(text: str, jsx: bool = False) -> Tokens:
     kinds, starts, ends = [], [], []
     pos, n, prev = 1 if text[:1] == "\ufeff" else 0, len(text), ""
     frames: list[str] = []  # { for a brace, $ for a template's field, J for a field in markup
-    match, table = _JS.match, SCRIPT
+    match, table, breaks = _JS.match, SCRIPT, re.compile(r"[^\r\n]*[\r\n]").match
 
     def put(k, a, b):
         kinds.append(k)
@@ -497,11 +497,12 @@ def lex_script(text: str, jsx: bool = False) -> Tokens:
         if not m:
             raise LexError(re.compile(r"\s*").match(text, pos).end(), "unterminated comment, string or unexpected character")
         g = m.lastgroup
-        a, pos = m.start(g), m.end()
+        gap = pos
+        a, pos = m.span(g)
         if g == "w":
-            k = table.get(m["w"], NAME)
+            k = table.get(text[a:pos], NAME)
         elif g == "o":
-            o = m["o"]
+            o = text[a:pos]
             k = table[o]
             if o == "{":
                 frames.append("{")
@@ -546,7 +547,7 @@ def lex_script(text: str, jsx: bool = False) -> Tokens:
         elif g == "s":
             k = STRING
         elif g == "d":
-            if prev in _AFTER_VALUE and not (prev == table["}"] and "\n" in m["b"]):
+            if prev in _AFTER_VALUE and not (prev == table["}"] and "\n" in text[gap:a]):
                 k = table[m["d"]]
             else:
                 r = _JS_REGEX.match(text, a)
@@ -567,8 +568,7 @@ def lex_script(text: str, jsx: bool = False) -> Tokens:
         else:
             break
         prev = k
-        b = m["b"]
-        kinds.append(chr(ord(k) + 1) if b and ("\n" in b or "\r" in b) else k)
+        kinds.append(k if a == gap or a == gap + 1 and text[gap] == " " or not breaks(text, gap, a) else chr(ord(k) + 1))
         starts.append(a)
         ends.append(pos)
     if frames:
@@ -628,11 +628,11 @@ def _lex_plain(pattern: re.Pattern, table: dict[str, str], text: str) -> Tokens:
     return Tokens(text, "".join(kinds), (starts, ends))
 
 
-def lex_java(text: str) -> Tokens:
+def _lex_java_slow(text: str) -> Tokens:
     return _lex_plain(_JAVA, JAVA, text[:-1] if text.endswith("\x1a") else text)
 
 
-def lex_rust(text: str) -> Tokens:
+def _lex_rust_slow(text: str) -> Tokens:
     kinds, starts, ends = [], [], []
     pos, n = 1 if text[:1] == "\ufeff" else 0, len(text)
     if text.startswith("#!", pos) and not re.compile(r"#!\s*\[").match(text, pos):
@@ -687,7 +687,7 @@ def lex_rust(text: str) -> Tokens:
     return Tokens(text, "".join(kinds), (starts, ends))
 
 
-def lex_go(text: str) -> Tokens:
+def _lex_go_slow(text: str) -> Tokens:
     """With the semicolons that the language puts at line ends."""
     kinds, starts, ends = [], [], []
     pos, semi = 1 if text[:1] == "\ufeff" else 0, GO[";"]
@@ -726,6 +726,95 @@ def lex_go(text: str) -> Tokens:
     return Tokens(text, "".join(kinds), (starts, ends))
 
 
+class _BraceKinds(dict):
+    """Kinds of words by their text, names remembered."""
+
+    def __init__(self, table: dict[str, str], number: str):
+        super().__init__(table)
+        self.table, self.number = table, re.compile(number)
+
+    def __missing__(self, w: str) -> str:
+        c = w[:1]
+        if c.isalpha() or c in "_$" and c:
+            if '"' in w[:6]:
+                return STRING if w.count('"') > 1 else _ODD
+            if w[-1] == "'":
+                return CHAR
+            k = NAME
+        elif c in "\"`" and len(w) > 1:
+            return STRING
+        elif c == "'" and len(w) > 1:
+            return CHAR if w[-1] == "'" else LIFETIME
+        else:
+            k = NUMBER if w and self.number.fullmatch(w) else _ODD
+        if len(self) > 400_000:
+            self.clear()
+            self.update(self.table)
+        self[w] = k
+        return k
+
+
+_FLAT_COMMENTS = r"\s*+(?:(?://[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/)\s*+)*+"
+_JAVA_FAST = re.compile(rf"{_C_COMMENTS}((?:[^\W\d]|\$)[\w$]*+|[(){{}};,]|(?=\.?\d)(?:{_JAVA_NUMBER})\w*|{_ops(JAVA_OPS)}|\"\"\"[ \t\f]*\r?\n(?:[^\\\"]|\\(?s:.)|\"(?!\"\"))*+\"\"\"|\"(?:[^\"\\\r\n]|{_ESCAPE})*+\"|'(?:[^'\\\r\n]|{_ESCAPE})'|\Z|(?s:.))")
+_RUST_FAST = re.compile(
+    rf"{_FLAT_COMMENTS}([^\W\d]\w*+(?![\"'#])|[(){{}};,]|/\*|[bc]?r\"[^\"]*\"|[bc]?r#\"(?:[^\"]|\"(?!#))*+\"#|[bc]?r#*\"|[bc]?\"(?:[^\"\\]|\\(?s:.))*+\"|b?'(?:[^'\\\n\r\t]|\\(?:x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]+\}}|[nrt0\\'\"]))'|'[^\W\d]\w*|(?:r#)?{WORD}|(?=\d)(?:{_RUST_NUMBER})\w*|{_ops(RUST_OPS)}|\Z|(?s:.))"
+)
+_GO_FAST = re.compile(rf"(?:[ \t\r]|//[^\n]*|/\*(?:[^*\n]|\*(?!/))*+\*/)*+([^\W\d]\w*+|[(){{}},.](?!\d|\.)|\n\s*|/\*(?:[^*]|\*(?!/))*+\*/|/\*|(?=\.?\d)(?:{_GO_NUMBER})\w*|{_ops(GO_OPS)}|\"(?:[^\"\\\n]|{_GO_ESCAPE})*+\"|`[^`]*`|'(?:[^'\\\n]|{_GO_ESCAPE})'|\Z|(?s:.))")
+_JAVA_KINDS, _RUST_KINDS = _BraceKinds({**JAVA, "": ""}, _JAVA_NUMBER), _BraceKinds({**RUST, "": ""}, _RUST_NUMBER)
+_GO_KINDS = _BraceKinds({**GO, "": ""}, _GO_NUMBER)
+_GO_SEMICOLON = re.compile("(?<=[" + re.escape("".join(sorted(_GO_ENDS))) + "])" + _BREAK)
+
+
+def _lex_fast(text: str, pattern: re.Pattern, table: _BraceKinds) -> Tokens | None:
+    kinds = "".join(map(table.__getitem__, pattern.findall(text)))
+    if _ODD in kinds:
+        return None
+
+    def offsets():
+        spans = [m.span(1) for m in pattern.finditer(text) if m[1]]
+        return [a for a, _ in spans] + [len(text)], [b for _, b in spans] + [len(text)]
+
+    return Tokens(text, kinds + EOF, offsets)
+
+
+def lex_java(text: str) -> Tokens:
+    t = None if text[:1] == "\ufeff" or text[-1:] == "\x1a" else _lex_fast(text, _JAVA_FAST, _JAVA_KINDS)
+    return t or _lex_java_slow(text)
+
+
+def lex_rust(text: str) -> Tokens:
+    """Nested comments and raw strings with more than one # go to the slow lexer."""
+    t = None if text[:1] == "\ufeff" or text.startswith("#!") else _lex_fast(text, _RUST_FAST, _RUST_KINDS)
+    return t or _lex_rust_slow(text)
+
+
+def lex_go(text: str) -> Tokens:
+    """With the semicolons that the language puts at line ends."""
+    if text[:1] == "\ufeff":
+        return _lex_go_slow(text)
+    marks = "".join([_BREAK if w[:1] == "\n" or w[:2] == "/*" and len(w) > 2 else _GO_KINDS[w] for w in _GO_FAST.findall(text)])
+    if _ODD in marks:
+        return _lex_go_slow(text)
+    closed = _GO_SEMICOLON.sub(GO[";"], marks)
+    last = marks.rstrip(_BREAK)[-1:]
+    final = GO[";"] if last and last in _GO_ENDS and closed[-1:] == last else ""
+
+    def offsets():
+        starts, ends, end = [], [], 0
+        for k, m in zip(closed, (m for m in _GO_FAST.finditer(text) if m[1])):
+            if k != _BREAK:
+                a, b = m.span(1) if m[1][0] != "\n" and m[1][:2] != "/*" else (end, end)
+                starts.append(a)
+                ends.append(b)
+                end = b
+        if final:
+            starts.append(end)
+            ends.append(end)
+        return starts + [len(text)], ends + [len(text)]
+
+    return Tokens(text, closed.replace(_BREAK, "") + final + EOF, offsets)
+
+
 #: The language of each extension.
 LANGUAGE_OF = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust"}
 
