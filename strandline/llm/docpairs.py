@@ -283,7 +283,13 @@ def _stems(word: str) -> set[str]:
 
 def is_trivial(doc: str | None, name: str) -> bool:
     """Whether a function's documentation says nothing: see the module's first lines."""
-    text = description(doc or "")
+    return not doc or says_nothing(description(doc), name)
+
+
+def says_nothing(text: str, name: str) -> bool:
+    """Whether a description is too short, a placeholder or a repetition of the name."""
+    if len(text) < 7:
+        return True
     sentences = [s for s in _SPLIT.split(text) if s and not PLACEHOLDER.match(s)]
     words = [w for s in sentences for w in _WORD.findall(s)]
     if len(words) < 4:

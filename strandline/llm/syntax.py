@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexing import LANGUAGE_OF, LexError, extension, tokens
-from .docpairs import documentation, functions, is_trivial, description
+from .docpairs import description, documentation, functions, says_nothing
 from .grammars import grammar
 
 DEPTH = 60_000
@@ -129,11 +129,12 @@ def _documented(content: str, ext: str):
     language = LANGUAGE_OF[ext]
     for name, what, first, at, end in functions(t, nodes or [], language):
         doc = documentation(t, language, first, at, end)
-        if not is_trivial(doc, name):
+        text = description(doc) if doc else ""
+        if text and not says_nothing(text, name):
             last = end - 1
             while last > first and t.starts[last] == t.ends[last]:
                 last -= 1
-            yield language, name, what, content.count("\n", 0, t.starts[first]) + 1, content.count("\n", 0, t.ends[last]) + 1, description(doc), content[t.starts[first] : t.ends[last]]
+            yield language, name, what, content.count("\n", 0, t.starts[first]) + 1, content.count("\n", 0, t.ends[last]) + 1, text, content[t.starts[first] : t.ends[last]]
 
 
 def pairs(files: DataFrame) -> DataFrame:
