@@ -43,7 +43,6 @@ _HEADER = re.compile(
     r"generated (?:from|by|with|using)\b[^\n]*\b(?:by|from|with|using|compiler|tool|generator|do not|v?\d)|this (?:file|code|class|module) (?:is|was|has been) (?:generated|produced|created) (?:by|from|with)\b|"
     r"created by the [^\n]* (?:tool|generator|compiler)\b[^\n]*(?:build|do not|by hand)|do not (?:edit|modify)\b[^\n]*\b(?:generated|overwritten|regenerated)\b)"
 )
-_HASH_COMMENT = re.compile(r"^[ \t]*#[^\n]*", re.M)
 _LITERAL = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 _NUMBER = re.compile(r"(?<![\w$])\.?\d[\w.]*")
 _DEFINES = "def function func fn case public private protected void when".split()
@@ -57,12 +56,21 @@ _MARKS = re.compile(r"[;{}()=\[\]]")
 _GAP = re.compile(r"\s+")
 
 
-def _without_comments(text: str) -> str:
-    """Literals stand before comments in the pattern, so marks within them open none."""
-    return _BOTH.sub(lambda m: m[0] if m[0][0] in "\"'`" else " ", text)
+#: Literals stand before comments, so marks within them open none. By whether # opens a comment.
+_BOTH = {False: re.compile(_LITERAL.pattern + r"|/\*.*?\*/|//[^\n]*", re.S), True: re.compile(_LITERAL.pattern + r"|#[^\n]*", re.S)}
 
 
-_BOTH = re.compile(_LITERAL.pattern + r"|/\*.*?\*/|//[^\n]*", re.S)
+def _split_comments(text: str, hash_comments: bool) -> tuple[str, list[str]]:
+    """A text without its comments, and these."""
+    comments: list[str] = []
+
+    def keep(m):
+        if m[0][0] in "\"'`":
+            return m[0]
+        comments.append(m[0])
+        return " "
+
+    return _BOTH[hash_comments].sub(keep, text), comments
 
 
 def re_pair(sequence: list[int]) -> tuple[list[int], dict[int, tuple[int, int]]]:
@@ -123,12 +131,7 @@ def repeats(shapes: list[str]) -> bool:
 def features(content: str, language_hash: bool) -> tuple[str | None, np.ndarray]:
     """Why a text is not hand-written, as far as it tells itself, and the hashes of its neighbouring statements."""
     text = content.replace("\r\n", "\n")
-    comments = [m[0] for m in _BOTH.finditer(text) if m[0][0] == "/"]
-    if language_hash:
-        comments += _HASH_COMMENT.findall(text)
-    code = _without_comments(text)
-    if language_hash:
-        code = _HASH_COMMENT.sub("", code)
+    code, comments = _split_comments(text, language_hash)
     bare = _LITERAL.sub("\x01", code)
     statements = [x for x in (_GAP.sub(" ", m).strip() for m in _STATEMENT.findall(code)) if len(x) > 1]
     hashes = np.array([xxhash.xxh64_intdigest(a + "\n" + b) >> 1 for a, b in zip(statements, statements[1:])], dtype=np.int64)

@@ -15,11 +15,19 @@ simple = small (';' small)* ';'? NEWLINE
 small = 'return' exprs? / 'pass' / 'break' / 'continue' / 'raise' (expr ('from' expr)?)? / import / 'del' targets !';x' / 'assert' expr (',' expr)?
   / ('global' / 'nonlocal') ID (',' ID)* / 'type' ID tparams? '=' expr / assignment
 import = 'import' dotted ('as' ID)? (',' dotted ('as' ID)?)* / 'from' (('.' / '...')* dotted / ('.' / '...')+) 'import' ('*' / '(' alias (',' alias)* ','? ')' / alias (',' alias)*)
+-- what has no brackets within brackets, up to where an expression ends, is one pattern
+fatom = ID / NUMBER / STRING / 'None' / 'True' / 'False'
+fbin = '+' / '-' / '*' / '/' / '//' / '%' / '@' / '&' / '|' / '^' / '<<' / '>>' / '**' / '==' / '!=' / '<=' / '<' / '>=' / '>' / 'in' / 'is' / 'and' / 'or'
+f0 = fatom ('.' ID)*
+e0 = f0 (fbin f0)*
+f1 = fatom ('.' ID / '(' (e0 (',' e0)*)? ')' / '[' e0 ']')*
+flat = f1 (fbin f1)* &(',' / ')' / ']' / ':' / NEWLINE / '}' / ';')
+literals = ((NUMBER / STRING) ',')+
 dotted = ID ('.' ID)*
 alias = ID ('as' ID)?
 assignment <- (targets '=')+ (yield / exprs) !'=' / target augop (yield / exprs) / (target / '(' target ')') ':' expr ('=' (yield / exprs))? / exprs !'=' / yield
 augop = '+=' / '-=' / '*=' / '/=' / '//=' / '%=' / '@=' / '&=' / '|=' / '^=' / '>>=' / '<<=' / '**='
-targets <- star_target (',' star_target)* ','?
+targets <- ID ('.' ID)* &'=' / star_target (',' star_target)* ','?
 star_target = '*'? target
 target <- base (suffix &more)* (('.' ID / '[' slices ']')) !more / ID !more / '(' (star_target (',' star_target)* ','?)? ')' !more / '[' (star_target (',' star_target)* ','?)? ']' !more
 base = atom &more
@@ -55,9 +63,9 @@ lstar = '*' ID (',' lparam)* (',' '**' ID)? / '*' (',' lparam)+ (',' '**' ID)? /
 exprs <- star_named_or (',' star_named_or)* ','?
 star_named_or = '*' arith / expr
 star_named = '*' arith / named
-named <- ID ':=' expr / expr !':='
+named <- flat / ID ':=' expr / expr !':='
 yield = 'yield' ('from' expr / exprs)?
-expr <- 'lambda' lparams? ':' expr / disj ('if' disj 'else' expr)?
+expr <- flat / 'lambda' lparams? ':' expr / disj ('if' disj 'else' expr)?
 disj <- inversion (('and' / 'or') inversion)*
 inversion = 'not'* comparison
 comparison = arith (compop arith)*
@@ -72,7 +80,7 @@ args <- arg (',' arg)* ','?
 arg = '*' expr / '**' expr / ID '=' expr / named comp?
 comp <- ('async'? 'for' targets 'in' disj ('if' disj_or_lambda)*)+
 disj_or_lambda = ID ':=' expr / disj
-atom <- ID / NUMBER / strings / 'None' / 'True' / 'False' / '...' / '(' (yield / star_named comp / star_named (',' star_named)* ','?)? ')' / '[' (star_named comp / star_named (',' star_named)* ','?)? ']' / dict
+atom <- ID / NUMBER / strings / 'None' / 'True' / 'False' / '...' / '(' (yield / star_named comp / star_named (',' star_named)* ','?)? ')' / '[' (literals (star_named (',' star_named)* ','?)? / star_named comp / star_named (',' star_named)* ','?)? ']' / dict
 dict = '{' (pair comp / pair (',' pair)* ','? / star_named comp / star_named (',' star_named)* ','?)? '}'
 pair = '**' arith / expr ':' expr
 strings <- (STRING / FSTART field* FEND)+
@@ -99,7 +107,7 @@ body <- '{' stmt* '}'
 class := @DECO@ @ABSTRACT@ 'class' (!'implements' &ID name)? classrest
 classexpr := @DECO@ 'class' (!'implements' ID)? classrest
 classrest = @TPARAMS@ ('extends' lhs @TARGS@)? @IMPLEMENTS@ '{' member* '}'
-member <- ';' / @DECO@ (@MEMBERMORE@ 'static' body / method / field)
+member <- ';' / @MEMBERMORE@ 'static' body / method / field
 method := @DECO@ mods accessor? @OPTMARK@ @TPARAMS@ '(' params ')' @RET@ (body @NOBODY@)
 mods = (@MODS@ &(key / '*' / MODWORD / '['))*
 accessor = ('get' / 'set') !('(' / @LT@ '?x') name / ('async' !^)? '*' name / 'async' !^ !('(' / @LT@ '?x') name / name
@@ -110,8 +118,14 @@ param = @DECO@ @PMODS@ binding @QUEST@ @ANN@ ('=' assign)? @THISPARAM@
 binding <- ID / '[' ','* (belem ','+)* (belem / '...' binding)? ']' / '{' (bprop ',')* (bprop / '...' binding)? '}'
 belem = binding ('=' assign)?
 bprop = key ':' binding ('=' assign)? / ID ('=' assign)?
+fatom = ID / 'this' / NUMBER / STRING / 'null' / 'true' / 'false' / TEMPLATE / REGEX
+fbin = '+' / '-' / '*' / '/' / '%' / '**' / '<<' / '<' / '<=' / '>=' / '==' / '!=' / '===' / '!==' / '&' / '|' / '^' / '&&' / '||' / '??' / 'instanceof' / '>'
+f0 = fatom (('.' / '?.') IDN)*
+e0 = f0 (fbin f0)*
+f1 = fatom (('.' / '?.') IDN / '(' (e0 (',' e0)*)? ')' / '[' e0 ']')*
+flat = f1 (fbin f1)* &(',' / ')' / ']' / ';' / '}' / ':')
 expr <- assign (',' assign)*
-assign <- arrow / 'yield' (!^ '*'? assign)? / lhs asgop assign / cond
+assign <- flat / arrow / 'yield' (!^ '*'? assign)? / lhs asgop assign / cond
 asgop = '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '>>=' / '>>>=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??='
 arrow := ('async' !^)? (ID / @TPARAMS@ '(' params ')' @RET@) !^ '=>' (body / !'{' assign)
 cond <- binary ('?' assign ':' assign)?
@@ -125,7 +139,7 @@ suffix = '.' (IDN / PRIVATE) / '?.' (IDN / PRIVATE / '[' expr ']' / @TARGS@ argu
 arguments <- '(' (('...'? assign) (',' '...'? assign)* ','?)? ')'
 template <- TEMPLATE / HEAD expr (MIDDLE expr)* TAIL
 primary <- funcexpr / classexpr / ID / 'this' / 'super' / 'null' / 'true' / 'false' / NUMBER / STRING / REGEX / template / '(' expr ')' / array / object / 'import' ('(' assign (',' assign)? ','? ')' / '.' 'meta') / jsx
-array <- '[' ','* ('...'? assign ','+)* ('...'? assign)? ']'
+array <- '[' ','* ((NUMBER / STRING) ',')* ('...'? assign ','+)* ('...'? assign)? ']'
 object <- '{' (prop ',')* prop? '}'
 prop = '...' assign / objmethod / key ':' assign / ID ('=' assign)?
 objmethod := accessor @TPARAMS@ '(' params ')' @RET@ body
@@ -206,7 +220,13 @@ targs <- '<' (targ (',' targ)*)? '>'
 targ = annotation* '?' (('extends' / 'super') type)? / type
 declarators = declarator (',' declarator)*
 declarator = ID dims ('=' init)?
-init <- '{' (init (',' init)*)? ','? '}' / expr
+fatom = ID / 'this' / NUMBER / STRING / CHAR / 'null' / 'true' / 'false'
+fbin = '+' / '-' / '*' / '/' / '%' / '<<' / '<' / '<=' / '>=' / '==' / '!=' / '&' / '|' / '^' / '&&' / '||' / '>'
+f0 = fatom ('.' ID)*
+e0 = f0 (fbin f0)*
+f1 = fatom ('.' ID / '(' (e0 (',' e0)*)? ')' / '[' e0 ']')*
+flat = f1 (fbin f1)* &(',' / ')' / ']' / ';' / '}')
+init <- '{' ((NUMBER / STRING / CHAR) ',')* (init (',' init)*)? ','? '}' / expr
 block <- '{' stmt* '}'
 stmt ~ block / ';' / 'if' '(' expr ')' stmt ('else' stmt)? / 'for' '(' (modifier* type ID ':' expr / (localvar / expr (',' expr)*)? ';' expr? ';' (expr (',' expr)*)?) ')' stmt / 'while' '(' expr ')' stmt / 'do' stmt 'while' '(' expr ')' ';'
   / 'try' (('(' resource (';' resource)* ';'? ')') block catch* finally? / block (catch+ finally? / finally)) / switch !'.' / 'synchronized' '(' expr ')' block / 'return' expr? ';' / 'throw' expr ';' / 'break' ID? ';' / 'continue' ID? ';' / 'assert' expr (':' expr)? ';'
@@ -223,8 +243,8 @@ localvar = modifier* type declarators
 switch <- 'switch' '(' expr ')' '{' (label '->' (block / 'throw' expr ';' / expr ';'))+ '}' / 'switch' '(' expr ')' '{' ((label ':')+ stmt*)* '}'
 label = 'default' / 'case' caseitem (',' caseitem)* ('when' expr)?
 caseitem = 'default' / pattern / ternary !'->x'
-pattern <- modifier* type '(' (pattern (',' pattern)*)? ')' ID? / modifier* type ID
-expr <- lambda / lhs asgop expr / ternary
+pattern <- modifier* type '(' (pattern (',' pattern)*)? ')' (!'when' ID)? / modifier* type ID
+expr <- flat / lambda / lhs asgop expr / ternary
 asgop = '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '>>>='
 lambda <- (ID / '(' (ID (',' ID)*)? ')' / '(' params ')') '->' (block / expr)
 ternary <- binary ('?' (lambda / ternary) ':' (lambda / ternary))?
@@ -274,8 +294,14 @@ typeswitch = (ID ':=')? hprimary_type
 hprimary_type = hoperand (hsuffix !'.x')* 
 exprs_or_types = (type !('(' / '.' / '{') &(',' / ':') / expr / type) (',' (type &(',' / ':') / expr / type))*
 select = 'select' '{' (('case' simple / 'default') ':' stmts)* '}'
+fatom = ID / NUMBER / STRING / CHAR
+fbin = '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '<<' / '>>' / '&^' / '&&' / '||' / '==' / '!=' / '<' / '<=' / '>' / '>='
+f0 = fatom ('.' ID)*
+e0 = f0 (fbin f0)*
+f1 = fatom ('.' ID / '(' (e0 (',' e0)*)? ')' / '[' e0 ']')*
+flat = f1 (fbin f1)* &(',' / ')' / ']' / ';' / '}' / ':')
 exprs <- expr (',' expr)*
-expr <- unary (binop unary)*
+expr <- flat / unary (binop unary)*
 binop = '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '<<' / '>>' / '&^' / '&&' / '||' / '==' / '!=' / '<' / '<=' / '>' / '>='
 unary <- ('+' / '-' / '!' / '^' / '*' / '&' / '<-') unary / primary
 primary <- operand suffix*
@@ -284,7 +310,7 @@ index = expr? ':' expr? (':' expr)? / (type &(',' / ']') / expr / type) (',' typ
 arg = expr / type
 operand <- NUMBER / STRING / CHAR / 'func' signature block / ('[' ('...' / expr)? ']' type / 'map' '[' type ']' type / struct) (literal / '(' expr ')') / ID / '(' (expr / type) ')' / conversion
 conversion = ('[' ']' type / 'chan' type / 'func' signature / interface) &'('
-literal <- '{' (keyed (',' keyed)* ','?)? '}'
+literal <- '{' ((NUMBER / STRING / CHAR) ',')* (keyed (',' keyed)* ','?)? '}'
 keyed = (expr / literal) (':' (expr / literal))?
 hsimple <- hexprs (asgop hexprs / ':=' hexprs / '<-' hexpr / '++' / '--' / !('=' / ':='))
 hexprs = hexpr (',' hexpr)*
@@ -349,7 +375,13 @@ pat <- '_' / '..' / ('ref'? 'mut'? ID !('::' / '(' / '{' / '!' / '..' / '..=') (
 rangepat = (litpat / expath) ('..=' / '...' / '..') (litpat / expath)? / ('..=' / '..') (litpat / expath) / litpat
 litpat = '-'? NUMBER / STRING / CHAR / 'true' / 'false'
 fieldpat = attr* ('..' / (ID / NUMBER) ':' pattern / 'ref'? 'mut'? ID)
-expr <- attr* (jump / closure / range)
+fatom = ID ('::' ID)* / NUMBER / STRING / CHAR / 'true' / 'false'
+fbin = '+' / '-' / '*' / '/' / '%' / '<<' / '<' / '<=' / '>=' / '==' / '!=' / '&' / '|' / '^' / '&&' / '||' / '>'
+f0 = fatom ('.' ID)*
+e0 = f0 (fbin f0)*
+f1 = fatom ('.' ID / '(' (e0 (',' e0)*)? ')' / '[' e0 ']')*
+flat = f1 (fbin f1)* &(',' / ')' / ']' / ';' / '}')
+expr <- flat / attr* (jump / closure / range)
 jump = 'return' expr? / 'break' LIFETIME? expr? / 'continue' LIFETIME? / 'yield' expr?
 closure = 'static'? 'async'? 'move'? ('||' / '|' (pattern1 (':' type)? (',' pattern1 (':' type)?)* ','?)? '|') ('->' type block / expr)
 pattern1 = attr* pat
@@ -360,7 +392,7 @@ binop = '+' / '-' / '*' / '/' / '%' / '<<' / '>' '>' / '>' / '<' / '<=' / '>=' /
 unary <- ('-' / '!' / '*' / ('&' / '&&') ('raw' ('const' / 'mut'))? 'mut'?) unary / 'let' pattern '=' unary / primary
 primary <- atom suffix*
 suffix = '.' ('await' / ID ('::' targs)? / NUMBER) / '(' (expr (',' expr)* ','?)? ')' / '[' expr ']' / '?'
-atom <- blockexpr / NUMBER / STRING+ / CHAR / 'true' / 'false' / '(' (expr (',' expr)* ','?)? ')' / '[' (expr (';' expr / (',' expr)* ','?))? ']' / '<' type ('as' path)? '>' ('::' esegment)+ / expath '!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / expath structbody? / closure / jump
+atom <- blockexpr / NUMBER / STRING+ / CHAR / 'true' / 'false' / '(' (expr (',' expr)* ','?)? ')' / '[' ((NUMBER / STRING / CHAR) ',')* (expr (';' expr / (',' expr)* ','?))? ']' / '<' type ('as' path)? '>' ('::' esegment)+ / expath '!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / expath structbody? / closure / jump
 expath <- '::'? esegment ('::' esegment)*
 esegment = ID ('::' targs)?
 structbody <- '{' (attr* (ID / NUMBER) (':' expr)? (',' attr* (ID / NUMBER) (':' expr)?)* (',' ('..' expr?)?)? / '..' expr?)? '}'
@@ -369,7 +401,7 @@ nrange = ('..=' / '..') nbinary? / nbinary (asgop nexpr / ('..=' / '..') nbinary
 nbinary <- nunary (binop nunary / 'as' type)*
 nunary <- ('-' / '!' / '*' / ('&' / '&&') 'mut'?) nunary / 'let' pattern '=' nunary / nprimary
 nprimary <- natom suffix*
-natom <- blockexpr / NUMBER / STRING+ / CHAR / 'true' / 'false' / '(' (expr (',' expr)* ','?)? ')' / '[' (expr (';' expr / (',' expr)* ','?))? ']' / '<' type ('as' path)? '>' ('::' esegment)+ / expath '!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / expath / closure / jump
+natom <- blockexpr / NUMBER / STRING+ / CHAR / 'true' / 'false' / '(' (expr (',' expr)* ','?)? ')' / '[' ((NUMBER / STRING / CHAR) ',')* (expr (';' expr / (',' expr)* ','?))? ']' / '<' type ('as' path)? '>' ('::' esegment)+ / expath '!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / expath / closure / jump
 """
 
 

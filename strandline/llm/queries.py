@@ -10,7 +10,7 @@ from . import encoding, generated, mixing, subjects, syntax
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.pairs(table(spark, d, "parsed_files")).select("file_id", "qualified_name").distinct()
+    return syntax.pairs(table(spark, d, "parsed_files"), with_code=False).select("file_id", "qualified_name").distinct()
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:

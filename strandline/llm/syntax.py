@@ -132,12 +132,15 @@ def _documented(content: str, ext: str):
         text = description(doc) if doc else ""
         if text and not says_nothing(text, name):
             last = end - 1
-            while last > first and t.starts[last] == t.ends[last]:
+            while last > first and not content[t.starts[last] : t.ends[last]].strip():
                 last -= 1
             yield language, name, what, content.count("\n", 0, t.starts[first]) + 1, content.count("\n", 0, t.ends[last]) + 1, text, content[t.starts[first] : t.ends[last]]
 
 
-def pairs(files: DataFrame) -> DataFrame:
-    """Code and description of every documented function of every file that parses."""
+def pairs(files: DataFrame, with_code: bool = True) -> DataFrame:
+    """Every documented function of every file that parses; with_code: with its lines, description and code."""
     rows = spread(files.select("file_id", "repo_id", "file_path", "content"))
-    return rows.mapInPandas(_pairs, "file_id bigint, repo_id int, language string, qualified_name string, kind string, line_start int, line_end int, description string, code string")
+    schema = "file_id bigint, repo_id int, language string, qualified_name string, kind string"
+    if with_code:
+        return rows.mapInPandas(_pairs, schema + ", line_start int, line_end int, description string, code string")
+    return rows.mapInPandas(lambda batches: (b.iloc[:, :5] for b in _pairs(batches)), schema)
