@@ -492,85 +492,91 @@ def lex_script(text: str, jsx: bool = False) -> Tokens:
         return pos
 
     depth_of: list[list] = []
-    while True:
-        m = match(text, pos)
-        if not m:
-            raise LexError(re.compile(r"\s*").match(text, pos).end(), "unterminated comment, string or unexpected character")
-        g = m.lastgroup
-        gap = pos
-        a, pos = m.span(g)
-        if g == "w":
-            k = table.get(text[a:pos], NAME)
-        elif g == "o":
-            o = text[a:pos]
-            k = table[o]
-            if o == "{":
-                frames.append("{")
-            elif o == "}":
-                if not frames:
-                    raise LexError(a, "bracket without its partner")
-                f = frames.pop()
-                if f == "$":
-                    t = _JS_TEMPLATE.match(text, pos)
-                    if not t:
-                        raise LexError(a, "unterminated template")
-                    pos = t.end()
-                    k = TAIL if t[1] == "`" else MIDDLE
-                    if k == MIDDLE:
-                        frames.append("$")
-                elif f == "J":
-                    put(k, a, pos)
-                    markup = depth_of.pop()
-                    pos = children(pos)
+    scan, ended = _JS.finditer, False
+    while not ended:
+        for m in scan(text, pos):
+            if m.start() != pos:
+                raise LexError(re.compile(r"\s*").match(text, pos).end(), "unterminated comment, string or unexpected character")
+            g = m.lastgroup
+            gap, moved = pos, False
+            a, pos = m.span(g)
+            if g == "w":
+                k = table.get(text[a:pos], NAME)
+            elif g == "o":
+                o = text[a:pos]
+                k = table[o]
+                if o == "{":
+                    frames.append("{")
+                elif o == "}":
+                    if not frames:
+                        raise LexError(a, "bracket without its partner")
+                    f = frames.pop()
+                    if f == "$":
+                        t = _JS_TEMPLATE.match(text, pos)
+                        if not t:
+                            raise LexError(a, "unterminated template")
+                        pos, moved = t.end(), True
+                        k = TAIL if t[1] == "`" else MIDDLE
+                        if k == MIDDLE:
+                            frames.append("$")
+                    elif f == "J":
+                        put(k, a, pos)
+                        markup = depth_of.pop()
+                        pos, moved = children(pos), True
+                        if frames and frames[-1] == "J" and markup:
+                            depth_of.append(markup)
+                            markup = []
+                            prev = table["{"]
+                        else:
+                            prev = JEND
+                        break
+                elif o == "<" and jsx and prev not in _AFTER_VALUE and re.compile(r"\s*(?:[A-Za-z_$]|>)").match(text, pos) and not re.compile(r"\s*[\w$]+\s*(?:,|extends\b|=)").match(text, pos):
+                    put(JOPEN, a, pos)
+                    markup = [["open", len(kinds), None]]
+                    pos, moved = children(pos), True
                     if frames and frames[-1] == "J" and markup:
                         depth_of.append(markup)
                         markup = []
                         prev = table["{"]
                     else:
                         prev = JEND
-                    continue
-            elif o == "<" and jsx and prev not in _AFTER_VALUE and re.compile(r"\s*(?:[A-Za-z_$]|>)").match(text, pos) and not re.compile(r"\s*[\w$]+\s*(?:,|extends\b|=)").match(text, pos):
-                put(JOPEN, a, pos)
-                markup = [["open", len(kinds), None]]
-                pos = children(pos)
-                if frames and frames[-1] == "J" and markup:
-                    depth_of.append(markup)
-                    markup = []
-                    prev = table["{"]
+                    break
+            elif g == "n":
+                k = NUMBER
+                if pos < n and (text[pos].isalnum() or text[pos] in "_$"):
+                    raise LexError(pos, "bad number")
+            elif g == "s":
+                k = STRING
+            elif g == "d":
+                if prev in _AFTER_VALUE and not (prev == table["}"] and "\n" in text[gap:a]):
+                    k = table[m["d"]]
                 else:
-                    prev = JEND
-                continue
-        elif g == "n":
-            k = NUMBER
-            if pos < n and (text[pos].isalnum() or text[pos] in "_$"):
-                raise LexError(pos, "bad number")
-        elif g == "s":
-            k = STRING
-        elif g == "d":
-            if prev in _AFTER_VALUE and not (prev == table["}"] and "\n" in text[gap:a]):
-                k = table[m["d"]]
+                    r = _JS_REGEX.match(text, a)
+                    if not r:
+                        raise LexError(a, "unterminated regular expression")
+                    pos, moved = r.end(), True
+                    k = REGEX
+            elif g == "t":
+                t = _JS_TEMPLATE.match(text, pos)
+                if not t:
+                    raise LexError(a, "unterminated template")
+                pos, moved = t.end(), True
+                k = TEMPLATE if t[1] == "`" else HEAD
+                if k == HEAD:
+                    frames.append("$")
+            elif g == "p":
+                k = PRIVATE
             else:
-                r = _JS_REGEX.match(text, a)
-                if not r:
-                    raise LexError(a, "unterminated regular expression")
-                pos = r.end()
-                k = REGEX
-        elif g == "t":
-            t = _JS_TEMPLATE.match(text, pos)
-            if not t:
-                raise LexError(a, "unterminated template")
-            pos = t.end()
-            k = TEMPLATE if t[1] == "`" else HEAD
-            if k == HEAD:
-                frames.append("$")
-        elif g == "p":
-            k = PRIVATE
+                ended = True
+                break
+            prev = k
+            kinds.append(k if a == gap or a == gap + 1 and text[gap] == " " or not breaks(text, gap, a) else chr(ord(k) + 1))
+            starts.append(a)
+            ends.append(pos)
+            if moved:
+                break
         else:
-            break
-        prev = k
-        kinds.append(k if a == gap or a == gap + 1 and text[gap] == " " or not breaks(text, gap, a) else chr(ord(k) + 1))
-        starts.append(a)
-        ends.append(pos)
+            raise LexError(re.compile(r"\s*").match(text, pos).end(), "unterminated comment, string or unexpected character")
     if frames:
         raise LexError(n, "bracket left open")
     kinds.append(chr(ord(EOF) + 1))
