@@ -286,6 +286,8 @@ _PY_FAST = re.compile(
     rf"|[fF](?:\"(?!\"\")(?:[^\"\\\r\n{{}}]|\{{\{{|\}}\}}|\{{[^\"\\\r\n{{}}]*\}})*+\"|'(?!'')(?:[^'\\\r\n{{}}]|\{{\{{|\}}\}}|\{{[^'\\\r\n{{}}]*\}})*+')|(?:[fF][rR]?|[rR][fF])[\"']|{WORD}|{_PY_NUMBER}\w*|{_ops(PYTHON_OPS)}|(?s:.))"
 )
 _PY_PLAIN = re.compile(rf"(?:(?:0|[1-9](?:_?\d)*)(?:\.\d+)?|\d+\.\d*|\.\d+|0[xX][0-9a-fA-F]+)")
+#: Names remembered with their kind: few enough to stay in the processor's cache.
+KEPT_NAMES = 8_000
 #: Stand-ins in the fast lexer: a line's end, and what it leaves to the slow one.
 _BREAK, _ODD = "\n", "\0"
 _OPENS, _CLOSES = [kind(c) for c in "([{"], [kind(c) for c in ")]}"]
@@ -306,7 +308,7 @@ class _PythonKinds(dict):
             return STRING
         else:
             k = NUMBER if _PY_PLAIN.fullmatch(w) else _ODD
-        if len(self) > 400_000:
+        if len(self) > KEPT_NAMES:
             self.clear()
             self.update(PYTHON)
         self[w] = k
@@ -331,7 +333,7 @@ class _PythonKinds(dict):
             words = _PY_FAST.findall(code)
             odd = any(x in ":!=\\" or x[0] in "\"'#\r\n" for x in words)
             k = self._fields[code] = _ODD if odd or not code.strip() else "".join(map(self.__getitem__, words))
-            if len(self._fields) > 100_000:
+            if len(self._fields) > KEPT_NAMES:
                 self._fields.clear()
         return k
 
@@ -753,7 +755,7 @@ class _BraceKinds(dict):
             return CHAR if w[-1] == "'" else LIFETIME
         else:
             k = NUMBER if w and self.number.fullmatch(w) else _ODD
-        if len(self) > 400_000:
+        if len(self) > KEPT_NAMES:
             self.clear()
             self.update(self.table)
         self[w] = k

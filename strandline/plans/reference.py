@@ -61,8 +61,11 @@ def blast_report(spark, d):
 
 
 def _pairs(nodes, edges):
-    roots = _roots(nodes, edges)
-    return roots.select(F.col("root").alias("target"), F.lit(1).alias("k")).join(edges.where("edge_type = 'CALLS'").groupBy("src").count().orderBy(F.desc("count"), "src").limit(5).select(F.col("src").alias("source"), F.lit(1).alias("k")), "k").select("source", "target")
+    """Each of the symbols that call most, with one of the most used ones, rank by rank."""
+    targets = _roots(nodes, edges).agg(F.sort_array(F.collect_list("root")).alias("t"))  # ROOTS rows
+    busy = edges.where("edge_type = 'CALLS'").groupBy("src").count().orderBy(F.desc("count"), "src").limit(ROOTS).agg(F.sort_array(F.collect_list("src")).alias("s"))
+    both = targets.withColumn("s", busy.scalar())
+    return cut(both.select(F.explode(F.arrays_zip("s", "t")).alias("p")).select(F.col("p.s").alias("source"), F.col("p.t").alias("target")).where("source is not null and target is not null"))
 
 
 def shortest_path_hops(spark, d):
