@@ -18,6 +18,7 @@ import textwrap
 from ..functions.lexing import CHAR, NAME, NEWLINE, STRING, Tokens, kind
 
 CLASSES = {"classdef", "class", "interface", "enum", "record", "annotype", "trait", "impl"}
+NAMELESS = {"arrow", "funcexpr", "classexpr"}
 FUNCTIONS = {"function", "method", "defaultfunc", "fdecl", "field"}
 
 
@@ -25,9 +26,10 @@ def functions(tokens: Tokens, nodes: list[tuple[str, int, int]], language: str):
     """(qualified name, kind, first token, name's token, token after the last) of each function and method."""
     stack: list[list] = []  # [end, name, is a class, node]
     named = {}
-    spans = sorted(((a, -b, i) for i, (_, a, b) in enumerate(nodes)), key=lambda x: (x[0], x[1], -x[2]))
+    spans = sorted((a, -b, -i) for i, (n, a, b) in enumerate(nodes) if n not in NAMELESS)
     starts = {(n, a) for n, a, _ in nodes}
-    for a, b, i in spans:  # the name of a node is the first name node in it that no smaller node holds
+    for a, b, i in spans:  # i is negative; the name of a node is the first name node in it that no smaller node holds
+        i = -i
         kind_, b = nodes[i][0], -b
         while stack and stack[-1][0] <= a:
             stack.pop()
@@ -38,6 +40,7 @@ def functions(tokens: Tokens, nodes: list[tuple[str, int, int]], language: str):
             stack.append([b, i])
     stack = []
     for a, b, i in spans:
+        i = -i
         kind_, b = nodes[i][0], -b
         if kind_ in ("name", "self_type", "receiver"):
             continue

@@ -23,6 +23,8 @@ import re
 from ..functions.lexing import EOF, TEXT, kind
 
 _TOKEN = re.compile(r"\s*(?:'((?:[^'\\]|\\.)+)'|([A-Z][A-Z_]*)|([a-z_][a-z_0-9]*)|([()?*+&!/^.]))")
+#: Statements remembered across texts: few enough to stay in the processor's cache.
+KEPT = 20_000
 _EVERY = None  # stands for the set of all kinds
 
 
@@ -324,7 +326,7 @@ class Grammar:
                 out(1, f"T.append(({n!r}, s0, p))")
             out(1, f"M_{n}[s0] = p if len(T) == m0 else (p, tuple(T[m0:]))")
             if how == "~" and not slow:
-                out(1, "if g and p == t and len(T) == m0 and len(C) < 200000: C.add(g)")
+                out(1, "if g and p == t and len(T) == m0 and len(C) < KEPT: C.add(g)")
             out(1, "return p")
         # one text at a time: what a parse works on is global to the grammar's own scope
         out(0, "def parse(kinds, nodes, furthest, hushed):")
@@ -334,7 +336,7 @@ class Grammar:
         out(2, f"return r_{self.start}(0)")
         out(1, "finally:")
         out(2, "; ".join(f"M_{n}.clear()" for n in named))
-        scope = {**consts, "C": set(), "k": "", "T": [], "far": None, "hush": None}
+        scope = {**consts, "KEPT": KEPT, "C": set(), "k": "", "T": [], "far": None, "hush": None}
         exec(compile("\n".join(self.lines), "<grammar>", "exec"), scope)
         return scope["parse"]
 

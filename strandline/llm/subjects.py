@@ -76,8 +76,10 @@ def vocabulary(docs: DataFrame, total: int) -> list[str]:
 
 def _leaves(docs: DataFrame, words: list[str]) -> DataFrame:
     """(doc_id, terms, leaf) of documents with vocabulary terms."""
-    counted = CountVectorizerModel.from_vocabulary(words, inputCol="terms", outputCol="tf").setBinary(False).transform(docs)
-    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
+    model = CountVectorizerModel.from_vocabulary(words, inputCol="terms", outputCol="tf")
+    counted = model.transform(docs)
+    empty = model.transform(docs.sparkSession.createDataFrame([(None, None, [])], docs.schema))  # so that no term lies in all documents, which would weigh nothing
+    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted.unionByName(empty)).transform(counted)
     vectors = Normalizer(inputCol="tfidf", outputCol="features").transform(weighted).select("doc_id", "terms", "features")
     vectors = cut(vectors)
     model = BisectingKMeans(k=LEAVES, maxIter=ITERATIONS, minDivisibleClusterSize=LEAF_SIZE, seed=SEED, distanceMeasure="cosine", predictionCol="leaf").fit(vectors)

@@ -103,7 +103,7 @@ def rates(judged: DataFrame) -> DataFrame:
     return once.where("valid is not null").groupBy("repo_id", "language").agg(F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid")).withColumn("rate", F.col("invalid") / F.col("files"))
 
 
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pairs(batches: Iterator[pd.DataFrame], with_code: bool = True) -> Iterator[pd.DataFrame]:
     _settle()
     seen: dict = {}
     for b in batches:
@@ -116,12 +116,12 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if key not in seen:
                 if len(seen) >= REMEMBERED // 4:
                     seen.clear()
-                seen[key] = list(_documented(content, ext))
+                seen[key] = list(_documented(content, ext, with_code))
             rows += [(file_id, repo_id, *x) for x in seen[key]]
-        yield pd.DataFrame(rows, columns=["file_id", "repo_id", "language", "qualified_name", "kind", "line_start", "line_end", "description", "code"])
+        yield pd.DataFrame(rows, columns=["file_id", "repo_id", "language", "qualified_name", "kind", "line_start", "line_end", "description", "code"][: None if with_code else 5])
 
 
-def _documented(content: str, ext: str):
+def _documented(content: str, ext: str, with_code: bool = True):
     try:
         t, nodes = parse(content, ext)
     except (LexError, RecursionError):
@@ -131,6 +131,9 @@ def _documented(content: str, ext: str):
         doc = documentation(t, language, first, at, end)
         text = description(doc) if doc else ""
         if text and not says_nothing(text, name):
+            if not with_code:
+                yield language, name, what
+                continue
             last = end - 1
             while last > first and not content[t.starts[last] : t.ends[last]].strip():
                 last -= 1
@@ -143,4 +146,4 @@ def pairs(files: DataFrame, with_code: bool = True) -> DataFrame:
     schema = "file_id bigint, repo_id int, language string, qualified_name string, kind string"
     if with_code:
         return rows.mapInPandas(_pairs, schema + ", line_start int, line_end int, description string, code string")
-    return rows.mapInPandas(lambda batches: (b.iloc[:, :5] for b in _pairs(batches)), schema)
+    return rows.mapInPandas(lambda batches: _pairs(batches, False), schema)
