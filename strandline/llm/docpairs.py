@@ -117,6 +117,11 @@ def _python_doc(t: Tokens, name: int, end: int) -> str | None:
         j += 1
     if j == i or t.kinds[j] not in (NEWLINE, kind(";")):
         return None
+    if j == i + 1:
+        word = t.word(i)
+        if word[0] in "\"'" and "\\" not in word:  # the usual case needs no evaluation
+            n = 3 if word[:3] in ('"""', "'''") and len(word) > 5 else 1
+            return word[n:-n].replace("\r\n", "\n")
     try:
         value = ast.literal_eval("(" + t.text[t.starts[i] : t.ends[j - 1]] + ")")
     except (SyntaxError, ValueError):
@@ -237,6 +242,10 @@ _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 def description(doc: str) -> str:
     """doc without tags, parameter sections and markers."""
+    if "\n" not in doc and "\t" not in doc:
+        bare = doc.strip()
+        if bare[:1] not in "@\\:#" and ":" not in bare[:24] and bare[-1:] != ":" and " " in bare:
+            return re.sub(r"^[-*+>#\s]+", "", bare)
     doc = doc.replace("\r\n", "\n").expandtabs()
     head, _, tail = doc.partition("\n")
     lines = [head.strip(), *textwrap.dedent(tail).split("\n")]
