@@ -27,7 +27,7 @@ from .syntax import REMEMBERED, spread
 
 #: A rule must be used so often, and cover so much of the file, to call the file generated: one that holds a definition
 #: or case, and one that holds a condition only (a table of states).
-USES, COVER, COVER_CONDITION = 8, 0.5, 0.75
+USES, COVER, COVER_CONDITION = 5, 0.5, 0.75
 #: Share of a file's statements that lie in rules shared with one third-party file, and the least number of them.
 COPIED, LEAST_SHARED = 0.7, 6
 #: Mean length of code lines without literals from which code is minified.
