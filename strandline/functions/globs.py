@@ -16,7 +16,7 @@ def to_regex(pattern: str) -> str:
         if c in "*?":
             out.append(".*" if c == "*" else ".")
         elif c == "[" and (end := pattern.find("]", i + 2)) > 0:
-            inner = pattern[i + 1 : end].replace("\\", "\\\\")
+            inner = re.sub(r"([\\\[&])", r"\\\1", pattern[i + 1 : end])
             out.append("[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]")
             i = end
         else:

@@ -37,7 +37,7 @@ def scan(spark: SparkSession, root: str, repo_id: int = 0, max_bytes: int = MAX_
     """(repo_id, file_path, language, content_hash, content, modified) of a source tree; size is checked before reading."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
     kept = discover(raw, root, **ignored)
-    return kept.select(F.lit(repo_id).alias("repo_id"), "file_path", "language", F.sha2("content", 256).alias("content_hash"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("modificationTime").alias("modified"))
+    return kept.select(F.lit(repo_id).alias("repo_id"), "file_path", "language", F.sha2("content", 256).alias("content_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("modificationTime").alias("modified"))
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame | None:

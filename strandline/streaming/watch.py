@@ -42,12 +42,19 @@ def watch(spark: SparkSession, root: str, on_change: Callable[[DataFrame, DataFr
     return spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.foreachBatch(poll).trigger(processingTime=interval).start()
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which wants times with a zone; other tables as they are."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events, users and values by window and type; on a stream, rows later than `late` are left out."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+    kind = dict(events.dtypes)["ts"]
+    rows = _timed(events, late)
+    return rows.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("window.start").cast(kind).alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
+    kind = dict(events.dtypes)["ts"]
+    rows = _timed(events, late)
+    return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast(kind).alias("session_start"), F.col("session_window.end").cast(kind).alias("session_end"), "n")
