@@ -6,7 +6,8 @@ A grammar is text, one rule a line:
     name = expression         written out where it is used
     name := expression        a memoised rule that leaves a node (name, first token, token after the last)
     name ~ expression         a memoised rule for statements, also remembered across texts where it ends at its first
-                              terminator and holds no node: equal kinds up to there parse alike
+                              terminator, holds no node and the token after it cannot continue any statement (as else
+                              does): equal kinds up to there parse alike
 
 Expressions have the usual operators: sequence, / for ordered choice, ? * +, & and ! for look-ahead, brackets, 'text'
 for a token, UPPER for a class of tokens, ^ for "this token begins a line". Rules become Python functions that return
@@ -32,6 +33,10 @@ def _pair(c: str) -> frozenset[str]:
     return frozenset((c, chr(ord(c) + 1)))
 
 
+def _either(*sets: frozenset[str] | None) -> frozenset[str] | None:
+    return _EVERY if any(s is _EVERY for s in sets) else frozenset().union(*sets)
+
+
 class Grammar:
     def __init__(self, text: str, classes: dict[str, list[str]] | None = None, start: str = "file", terminator: str = ";"):
         self.classes = {k: frozenset().union(*(_pair(kind(x)) for x in v)) for k, v in (classes or {}).items()}
@@ -169,6 +174,47 @@ class Grammar:
             out |= s
         return out
 
+    def _continues(self, name: str):
+        """The tokens that a rule can go on with after its terminator, outside brackets opened before it; None for any."""
+        ends, more = dict.fromkeys(self.rules, False), {n: frozenset() for n in self.rules}
+        opening, closing = (frozenset().union(*(_pair(kind(c)) for c in cs if c in TEXT.values())) for cs in (("(", "[", "{", "INDENT"), (")", "]", "}", "DEDENT")))
+
+        def walk(x) -> tuple[bool, frozenset | None]:
+            """Whether x can end with a terminator, and what x can go on with after one."""
+            k = x[0]
+            if k == "lit":
+                return x[1] is _EVERY or self.terminator in x[1], frozenset()
+            if k == "ref":
+                return ends[x[1]], more[x[1]]
+            if k in ("and", "not", "line"):
+                return False, frozenset()
+            if k in ("opt", "star", "plus"):
+                e, f = walk(x[1])
+                return e, _either(f, self._first(x[1])) if e and k != "opt" else f
+            if k == "alt":
+                found = [walk(y) for y in x[1]]
+                return any(e for e, _ in found), _either(*(f for _, f in found))
+            open_, depth, out = False, 0, frozenset()  # open_: a terminator may stand right before the part
+            for y in x[1]:
+                if open_ and not depth:
+                    out = _either(out, _EVERY if y[0] == "line" else self._first(y[1] if y[0] in ("and", "not") else y))
+                e, f = walk(y)
+                if not depth:
+                    out = _either(out, f)
+                open_ = e or open_ and self._can_be_empty(y)
+                if y[0] == "lit" and y[1]:
+                    depth += (y[1] <= opening) - (y[1] <= closing)
+            return open_, out
+
+        changed = True
+        while changed:
+            changed = False
+            for n, x in self.rules.items():
+                e, f = walk(x)
+                if e != ends[n] or f != more[n]:
+                    ends[n], more[n], changed = e, f, True
+        return more[name]
+
     def _is_regular(self, x) -> bool:
         if x[0] == "ref":
             return x[1] in self.regular
@@ -306,6 +352,7 @@ class Grammar:
         named = [n for n in self.rules if self.how[n] != "="]
         for n in named:
             x, how = self.rules[n], self.how[n]
+            after = self._continues(n) if how == "~" and not slow else _EVERY
             out(0, f"M_{n} = {{}}")
             out(0, f"def r_{n}(p):")
             out(1, f"e = M_{n}.get(p)")
@@ -313,10 +360,10 @@ class Grammar:
             out(2, "if e.__class__ is int: return e")
             out(2, "T.extend(e[1]); return e[0]")
             out(1, "s0 = p; m0 = len(T)")
-            if how == "~" and not slow:
+            if after is not _EVERY:
                 out(1, f"t = k.find({self.terminator!r}, p, p + 64) + 1")
                 out(1, "g = k[p:t] if t else ''")
-                out(1, "if g and g in C: return t")
+                out(1, f"if g and g in C and k[t] not in {const(after)}: return t")
             emit(x, 1)
             out(1, "if p < 0:")
             out(2, "if len(T) > m0: del T[m0:]")
@@ -325,8 +372,8 @@ class Grammar:
             if how == ":=":
                 out(1, f"T.append(({n!r}, s0, p))")
             out(1, f"M_{n}[s0] = p if len(T) == m0 else (p, tuple(T[m0:]))")
-            if how == "~" and not slow:
-                out(1, "if g and p == t and len(T) == m0 and len(C) < KEPT: C.add(g)")
+            if after is not _EVERY:
+                out(1, f"if g and p == t and k[t] not in {const(after)} and len(T) == m0 and len(C) < KEPT: C.add(g)")
             out(1, "return p")
         # one text at a time: what a parse works on is global to the grammar's own scope
         out(0, "def parse(kinds, nodes, furthest, hushed):")

@@ -123,6 +123,34 @@ def test_fast_and_slow_lexers_agree():
                 assert kinds(fast, text) == kinds(slow, text), path
 
 
+CONTINUED = {
+    "js": ["if (a) b(c);", "else d(e);", "while (a) b(c);", "for (x of y) if (a) b(c);", "l: if (a) b(c);", "do b(c);", "while (a);", "if (a) b(c); else if (d) e();", "try { f(); } finally { g(); }"],
+    "ts": ["if (a) throw b;", "else throw d;", "for (const x of y) if (a) b(c);", "let z: number = 1;", "else { }", "do b(c);", "while (a);"],
+    "java": ["if (a) b(c);", "else d(e);", "while (a) b(c);", "for (A x : y) if (a) b(c);", "l: if (a) b(c);", "do b(c);", "while (a);"],
+    "py": ["if a: b", "elif c: d", "else: e", "for a in b: c", "while a: b", "@a", "def f(): pass", "class B: pass", "try: a", "except B: c", "finally: d", "x = 1"],
+    "rs": ["let a = b;", "if a { b; }", "else { c; }", "loop { a; }", "a = b;"],
+    "go": ["a = b", "if a { b() }", "for { a() }", "return"],
+}
+AROUND = {"java": "class A {{ void f() {{ {} }} }}", "rs": "fn f() {{ {} }}", "go": "package p\nfunc f() {{\n{}\n}}\n"}
+
+
+@pytest.mark.parametrize("ext", CONTINUED)
+def test_statements_remembered_do_not_change_what_parses(ext):
+    g = grammar(ext)
+    g.furthest(tokens("", ext).kinds)
+    parts = CONTINUED[ext]
+    for text in [*([a] for a in parts), *([a, b] for a in parts for b in parts), *([a, b, c] for a in parts for b in parts for c in parts)]:
+        kinds = tokens(AROUND.get(ext, "{}\n").format("\n".join(text)), ext).kinds
+        plain = g._slow(kinds, [], [0, set()], [0]) == len(kinds)
+        assert (g.parse(kinds) is not None) is plain, text
+
+
+@pytest.mark.parametrize("ext", [*VALID])
+def test_fixtures_with_a_warm_memory(ext):
+    for text in [*VALID[ext], *INVALID.get(ext, []), *VALID[ext]]:
+        assert verdict(text, ext)[0] is (text in VALID[ext]), text
+
+
 def test_choice_is_ordered_and_memoised():
     g = grammar("js")
     assert g.parse(tokens("(a) => b", "js").kinds) is not None
