@@ -2,9 +2,10 @@
 
 Texts are cut where a rolling hash of the last WINDOW characters says so, so equal passages give equal chunks wherever
 they stand. Chunks that occur more than once are encoded once and joined back; what lies between them is encoded in
-place. Where two parts meet, the last piece of the left one may be wrong: pieces are cut anew from its start in the whole
-text until a cut falls on one of the right part's own, from where on the two agree, since a piece depends only on the text
-from its start. The result is that of the whole text at once.
+place. Where two parts meet, the last piece of the left one may be wrong, and so may an apostrophe before it (of 're, 've
+or 'll cut in two): pieces are cut anew from its start in the whole text until a cut falls on one of the right part's own,
+from where on the two agree, since a piece depends only on the text from its start. The result is that of the whole text
+at once.
 
 Defined results: null and empty texts give an empty list; special-token strings are ordinary text; repeated doc_ids give
 a row each; texts of any length are encoded whole; an empty table gives no rows; other columns are ignored. A chunk that
@@ -101,6 +102,13 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": ids, "start": starts, "h": [xxhash.xxh64_intdigest(c) - 2**63 for c in chunks], "chunk": chunks})
 
 
+def _sure(text: str, end: int, lengths: list[int]) -> int:
+    """How many of the pieces up to a cut at end are pieces of the whole text too, whatever follows the cut."""
+    if len(lengths) > 1 and lengths[-2] == 1 and text[end - lengths[-1] - 1] == "'":
+        return len(lengths) - 2
+    return len(lengths) - 1
+
+
 def assemble(text: str, parts: list[tuple[int, str, list[int], list[int]]], encoder: Encoder) -> list[int]:
     """ids of a text, of which parts (start, chunk, lengths of its pieces, ids in each piece flattened by counts) are known.
 
@@ -122,13 +130,11 @@ def assemble(text: str, parts: list[tuple[int, str, list[int], list[int]]], enco
     match = encoder.pattern.match
     for a, e, lengths, counts, ids in segments:
         last = e == len(text)
-        if ids is None:  # encoded in place, up to the piece that touches the end
+        if ids is None:  # encoded in place, up to what the end may have changed
             if pos >= e:
                 continue
             found = encoder.pieces(text[pos:e])
-            if not last:
-                found.pop()
-            for p in found:
+            for p in found if last else found[: _sure(text, e, [len(p) for p in found])]:
                 out += encoder.piece(p)
                 pos += len(p)
             continue
@@ -141,7 +147,7 @@ def assemble(text: str, parts: list[tuple[int, str, list[int], list[int]]], enco
         if pos >= e:
             continue
         first = 0 if pos == a else int(np.searchsorted(ends, pos - a)) + 1
-        stop = len(lengths) if last else len(lengths) - 1
+        stop = len(lengths) if last else _sure(text, e, lengths)
         if stop > first:
             skip = sum(counts[:first])
             out.extend(ids[skip : skip + sum(counts[first:stop])])

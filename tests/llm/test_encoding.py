@@ -42,6 +42,25 @@ def test_any_cut_is_repaired():
         assert e.assemble(text, parts, enc) == enc.encode(text)
 
 
+def test_every_cut_of_contractions_is_repaired():
+    enc = e.Encoder(e.TOKENIZERS)
+    texts = [f"{a}'{c}{z}" for a in ("they", "a ", "", "x'", "1", "é\n") for c in ("s", "t", "re", "ve", "m", "ll", "d", "RE", "r", "l") for z in ("", "n", " we'll", "'ve 'll")]
+
+    def part(text, a, b):
+        found = enc.pieces(text[a:b])
+        ids = [enc.piece(p) for p in found]
+        return a, text[a:b], [len(p) for p in found], [len(i) for i in ids], [t for i in ids for t in i]
+
+    for text in texts:
+        n = len(text)
+        for i in range(n + 1):
+            for j in range(i, n + 1):
+                spans = [(a, b) for a, b in ((0, i), (i, j), (j, n)) if a < b]
+                for known in range(2 ** len(spans)):
+                    parts = [part(text, a, b) for k, (a, b) in enumerate(spans) if known >> k & 1]
+                    assert e.assemble(text, parts, enc) == enc.encode(text), (text, parts)
+
+
 def test_a_chunk_of_another_text_is_not_used():
     enc = e.Encoder(e.TOKENIZERS)
     assert e.assemble("hello world", [(0, "other", [5], [1], [1])], enc) == enc.encode("hello world")
