@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,10 +78,11 @@ def components(pairs: DataFrame) -> DataFrame:
     return out
 
 
-def cycles(pairs: DataFrame, max_cycles: int = 100, max_length: int = 12) -> DataFrame:
+def cycles(pairs: DataFrame, max_cycles: int = 100, max_length: int | None = None) -> DataFrame:
     """(length, nodes): simple cycles from their least node on, closed, the first max_cycles by (length, nodes).
 
-    Longer ones are looked for only while shorter ones are fewer than max_cycles, and only within components.
+    Longer ones are looked for only while shorter ones are fewer than max_cycles, and only within components. Without
+    max_length the search ends with the longest path of a component.
     """
     inside = components(pairs)
     inside = cut(inside)
@@ -87,7 +90,7 @@ def cycles(pairs: DataFrame, max_cycles: int = 100, max_length: int = 12) -> Dat
     used = cut(pairs.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("src_c = dst_c and src <> dst").select("src", "dst"))
     paths = used.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("nodes"))
     done: DataFrame | None = None
-    for length in range(2, max_length + 1):
+    for length in count(2) if max_length is None else range(2, max_length + 1):
         paths = cut(paths)
         if paths.isEmpty():
             break

@@ -80,7 +80,7 @@ def dot_lines(spark, d):
 
 def sarif_results(spark, d):
     nodes, edges = reference._kept(spark, d)
-    return export.sarif_results(cycles.cycles(cut(cycles.file_graph(nodes, edges)), max_length=3), quality.dead_code(nodes, edges), quality.forbidden(nodes, edges, reference.RULES))
+    return export.sarif_results(cycles.cycles(cut(cycles.file_graph(nodes, edges))), quality.dead_code(nodes, edges), quality.forbidden(nodes, edges, reference.RULES))
 
 
 NAMES = "extracted_symbols extracted_imports extracted_calls extracted_inheritance extracted_graph content_hash discovered_files cache_diff snapshot_differences event_windows event_sessions browser_elements dot_lines sarif_results".split()

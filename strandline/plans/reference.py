@@ -152,11 +152,11 @@ def file_components(spark, d):
 
 
 def module_cycles(spark, d):
-    return cycles.cycles(cut(cycles.file_graph(*_kept(spark, d))), max_length=3).select("length", F.array_join("nodes", " > ").alias("nodes"))
+    return cycles.cycles(cut(cycles.file_graph(*_kept(spark, d)))).select("length", F.array_join("nodes", " > ").alias("nodes"))
 
 
 def symbol_cycles(spark, d):
-    return cycles.cycles(cut(cycles.symbol_graph(*_kept(spark, d))), max_length=3).select("length", F.array_join("nodes", " > ").alias("nodes"))
+    return cycles.cycles(cut(cycles.symbol_graph(*_kept(spark, d)))).select("length", F.array_join("nodes", " > ").alias("nodes"))
 
 
 def edge_upsert(spark, d):

@@ -104,6 +104,21 @@ def test_components_and_cycles(spark):
     assert cycles.cycles(df.where("false")).count() == 0
 
 
+def test_cycles_of_any_length_are_registered(spark, monkeypatch):
+    from strandline.plans import io, reference
+
+    ids = [f"f{i:02d}.py::f" for i in range(14)]
+    rows = [(x, i, "f", "f", "function", x.split("::")[0], 1, 2, False, False, 1) for i, x in enumerate(ids)]
+    nodes = spark.createDataFrame(rows, "id string, node_seq bigint, name string, qualified_name string, kind string, file_path string, line_start int, line_end int, is_exported boolean, is_entrypoint boolean, complexity int")
+    pairs = [*zip(ids, ids[1:] + ids[:1]), (ids[8], ids[5])]  # a ring of fourteen, and one of four in it
+    edges = spark.createDataFrame([(a, b, "CALLS", i, 1, None) for i, (a, b) in enumerate(pairs)], "src string, dst string, edge_type string, edge_pos bigint, line_number int, file_path string")
+    monkeypatch.setattr(reference, "_kept", lambda spark, d: (nodes, edges))
+    ring, files = [*ids, ids[0]], [x.split("::")[0] for x in ids]
+    assert [(r.length, r.nodes) for r in reference.symbol_cycles(spark, "").collect()] == [(4, " > ".join([*ids[5:9], ids[5]])), (14, " > ".join(ring))]
+    assert [(r.length, r.nodes) for r in reference.module_cycles(spark, "").collect()] == [(4, " > ".join([*files[5:9], files[5]])), (14, " > ".join([*files, files[0]]))]
+    assert sum("RG001" in str(r) for r in io.sarif_results(spark, "").collect()) == 2
+
+
 def test_quality(spark):
     nodes, edges, ids = small(spark)
     assert {r.name for r in quality.dead_code(nodes, edges).collect()} == {"lone"}
