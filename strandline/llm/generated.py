@@ -157,7 +157,7 @@ def features(content: str, language_hash: bool) -> tuple[str | None, np.ndarray]
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: dict = {}
     for b in batches:
-        why, marks = [], []
+        why, marks, versions = [], [], []
         for path, content in zip(b["file_path"], b["content"]):
             key = (content, bool(path and path.lower().endswith(".py")))
             if key not in seen:
@@ -166,7 +166,8 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen[key] = features(content or "", key[1])
             why.append(seen[key][0])
             marks.append(seen[key][1])
-        yield pd.DataFrame({"file_id": b["file_id"], "own_reason": why, "statements": [len(m) for m in marks], "marks": marks})
+            versions.append(xxhash.xxh64_intdigest(f"{key[1]}{content or ''}") - 2**63)
+        yield pd.DataFrame({"file_id": b["file_id"], "version": versions, "own_reason": why, "statements": [len(m) for m in marks], "marks": marks})
 
 
 def _ignored(files: DataFrame, scan_config: DataFrame) -> DataFrame:
@@ -178,11 +179,12 @@ def _ignored(files: DataFrame, scan_config: DataFrame) -> DataFrame:
 def not_hand_written(files: DataFrame, scan_config: DataFrame, upstream: DataFrame) -> DataFrame:
     """(file_id, reason), one row a file; of several reasons the first in the alphabet."""
     rows = spread(files.select("file_id", "file_path", "content"))
-    schema = "file_id bigint, own_reason string, statements int, marks array<bigint>"
-    own = rows.mapInPandas(_features, schema)
+    schema = "file_id bigint, version bigint, own_reason string, statements int, marks array<bigint>"
+    # a repeated row would count its marks again; differing rows of one file_id are judged apart
+    own = rows.mapInPandas(_features, schema).dropDuplicates(["file_id", "version"])
     theirs = upstream.select(F.col("upstream_id").cast("bigint").alias("file_id"), "file_path", "content").mapInPandas(_features, schema).select(F.col("file_id").alias("upstream_id"), F.explode("marks").alias("mark")).distinct()
-    pairs = own.select("file_id", "own_reason", "statements", F.explode_outer("marks").alias("mark")).join(theirs, "mark", "left")
-    shared = pairs.groupBy("file_id", "upstream_id").agg(F.max("own_reason").alias("own_reason"), F.max("statements").alias("statements"), F.count("upstream_id").alias("shared"))
+    pairs = own.select("file_id", "version", "own_reason", "statements", F.explode_outer("marks").alias("mark")).join(theirs, "mark", "left")
+    shared = pairs.groupBy("file_id", "version", "upstream_id").agg(F.max("own_reason").alias("own_reason"), F.max("statements").alias("statements"), F.count("upstream_id").alias("shared"))
     copied = F.max((F.col("shared") >= LEAST_SHARED) & (F.col("shared") >= COPIED * F.col("statements")))
     seen = shared.groupBy("file_id").agg(F.max("own_reason").alias("own_reason"), copied.alias("copied"))
     told = seen.select("file_id", F.when(F.col("copied"), F.lit("third-party copy")).otherwise(F.col("own_reason")).alias("reason")).where("reason is not null")

@@ -82,3 +82,14 @@ def test_files(spark):
     assert got == {1: "third-party copy", 2: "third-party copy", 3: "ignored folder", 7: "generated"}
     assert g.not_hand_written(files.where("false"), config, upstream).count() == 0
     assert {r.file_id for r in g.not_hand_written(files, config.where("false"), upstream.where("false")).collect()} == {7}
+
+
+def test_repeated_rows_count_once(spark):
+    theirs = "".join(f"alpha_{i} = first({i})\n" for i in range(8))
+    own = theirs + "".join(f"def beta_{c}(x):\n    return x.{c} + other_{c}\n" for c in "abcdef")
+    part = "".join(theirs.splitlines(True)[:5]) + "omega = last()\n"
+    files = spark.createDataFrame([(1, 1, "a.py", own, 0)] * 4 + [(2, 1, "b.py", part, 0)] * 5 + [(3, 1, "c.py", theirs, 0)] * 3 + [(4, 1, "d.py", own, 0), (4, 1, "d.py", "x = 1\n" + own, 0)], FILES)
+    upstream = spark.createDataFrame([(1, "lib/t.py", theirs)], UPSTREAM)
+    got = {r.file_id: r.reason for r in g.not_hand_written(files.repartition(3), spark.createDataFrame([], CONFIG), upstream).collect()}
+    assert got.get(3) == "third-party copy"
+    assert all(got.get(i) != "third-party copy" for i in (1, 2, 4)), got
