@@ -70,17 +70,17 @@ def _pairs(nodes, edges):
 
 def shortest_path_hops(spark, d):
     nodes, edges = _kept(spark, d)
-    return traverse.shortest_paths(edges, _pairs(nodes, edges), graph.IMPACT, 12).select("source", "target", "total_hops")
+    return traverse.shortest_paths(edges, _pairs(nodes, edges), graph.IMPACT).select("source", "target", "total_hops")
 
 
 def path_result(spark, d):
     nodes, edges = _kept(spark, d)
-    return traverse.hops(traverse.shortest_paths(edges, _pairs(nodes, edges), graph.IMPACT, 12), edges, nodes)
+    return traverse.hops(traverse.shortest_paths(edges, _pairs(nodes, edges), graph.IMPACT), edges, nodes)
 
 
 def simple_paths(spark, d):
     nodes, edges = _kept(spark, d)
-    return traverse.simple_paths(edges, _pairs(nodes, edges), graph.COUPLING, 4).select("source", "target", "hops", F.array_join("path", " > ").alias("path"))
+    return traverse.simple_paths(edges, _pairs(nodes, edges), graph.COUPLING).select("source", "target", "hops", F.array_join("path", " > ").alias("path"))
 
 
 def ego_subgraph(spark, d):
@@ -206,7 +206,7 @@ def diff_interval_join(spark, d):
 
 def diff_aggregate(spark, d):
     nodes, edges = _kept(spark, d)
-    return changes.impact(cut(changes.parse_diff(_diffs(spark, d))), nodes, edges, 1).select("diff_id", "symbols", "score", "total_impacted")
+    return changes.impact(cut(changes.parse_diff(_diffs(spark, d))), nodes, edges).select("diff_id", "symbols", "score", "total_impacted")
 
 
 NAMES = (

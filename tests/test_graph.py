@@ -77,6 +77,21 @@ def test_simple_paths(spark):
     assert traverse.simple_paths(edges, pairs, ("IMPORTS",), 8).count() == 0
 
 
+def test_registered_paths_and_diffs_go_as_deep_as_the_operators(spark, monkeypatch):
+    from strandline.plans import reference
+
+    rows = [node(f"n{i:02d}", f"f{i:02d}.py", lines=(1, 2)) for i in range(14)]
+    nodes = spark.createDataFrame(rows, NODE)
+    ids = [x[0] for x in rows]
+    edges = spark.createDataFrame([(a, b, i, "CALLS", 1, None) for i, (a, b) in enumerate(zip(ids, ids[1:]))], EDGE)
+    monkeypatch.setattr(reference, "_kept", lambda spark, d: (nodes, edges))
+    monkeypatch.setattr(reference, "_pairs", lambda nodes, edges: spark.createDataFrame([(ids[0], ids[13]), (ids[0], ids[5])], "source string, target string"))
+    monkeypatch.setattr(reference, "_diffs", lambda spark, d: spark.createDataFrame([(1, "diff --git a/f12.py b/f12.py\n@@ -1 +1,1 @@\n+x")], "diff_id int, text string"))
+    assert {(r.target, r.total_hops) for r in reference.shortest_path_hops(spark, "").collect()} == {(ids[13], 13), (ids[5], 5)}
+    assert [(r.target, r.hops) for r in reference.simple_paths(spark, "").collect()] == [(ids[5], 5)]
+    assert [r.total_impacted for r in reference.diff_aggregate(spark, "").collect()] == [1 + 10 + 1]
+
+
 def test_ego(spark):
     nodes, edges, ids = small(spark)
     got = {(r.src, r.dst) for r in traverse.ego(edges, spark.createDataFrame([(ids["b"],)], "root string"), 1, 1).collect()}
