@@ -30,7 +30,7 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _not_hand_written(spark: SparkSession, d: str) -> DataFrame:
-    return generated.not_hand_written(table(spark, d, "parsed_files"), table(spark, d, "scan_config"), table(spark, d, "upstream_files"))
+    return generated.not_hand_written(table(spark, d, "parsed_files"), table(spark, d, "scan_config"), table(spark, d, "upstream_files"), table(spark, d, "symbols"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
