@@ -25,6 +25,7 @@ EOF, NAME, NUMBER, STRING, NEWLINE, INDENT, DEDENT = map(kind, ("EOF", "NAME", "
 CHAR, LIFETIME, REGEX, TEMPLATE, HEAD, MIDDLE, TAIL = map(kind, ("CHAR", "LIFETIME", "REGEX", "TEMPLATE", "HEAD", "MIDDLE", "TAIL"))
 FSTART, FEND, FOPEN, FCLOSE, FSPEC, FCONV = map(kind, ("FSTART", "FEND", "FOPEN", "FCLOSE", "FSPEC", "FCONV"))
 JOPEN, JEND, JCLOSE, JSELF, JTEXT, JNAME, PRIVATE = map(kind, ("JOPEN", "JEND", "JCLOSE", "JSELF", "JTEXT", "JNAME", "PRIVATE"))
+BYTES = kind("BYTES")
 
 
 class LexError(Exception):
@@ -169,7 +170,7 @@ def _lex_python_slow(text: str) -> Tokens:
                     if text[pos : pos + 1] != "}":
                         raise LexError(pos, "unterminated field in f-string")
                     break
-                if c == "=" and re.compile(r"=\s*[!:}]").match(text, pos):
+                if c == "=" and re.compile(r"=\s*(?:#[^\n]*\n\s*)*[!:}]").match(text, pos):
                     pos += 1
                     continue
             m = match(text, pos)
@@ -200,7 +201,7 @@ def _lex_python_slow(text: str) -> Tokens:
             if not e:
                 raise LexError(a, "unterminated string")
             pos = e.end()
-            put(STRING, a, pos)
+            put(BYTES if "b" in m["s"].lower() else STRING, a, pos)
         else:
             pos = fstring(pos, a, m["f"])
         return pos
@@ -240,7 +241,17 @@ def _lex_python_slow(text: str) -> Tokens:
             rest = text[pos:].lstrip(" \t\f")
             if not rest:
                 break
-            raise LexError(n - len(rest), "unexpected character")
+            a = end = n - len(rest)
+            while end < n and ("a" + text[end]).isidentifier():  # letters that the pattern's classes lack
+                end += 1
+            if end > a and kinds and kinds[-1] == NAME and ends[-1] == a:
+                ends[-1] = end
+            elif end > a and rest[0].isidentifier():
+                put(NAME, a, end)
+            else:
+                raise LexError(a, "unexpected character")
+            pos = end
+            continue
         g = m.lastgroup
         a, pos = m.start(g), m.end()
         if g == "w":
@@ -316,7 +327,7 @@ class _PythonKinds(dict):
 
     def _literal(self, w: str) -> str:
         if "f" not in w[:2].lower() or w[0] in "\"'":
-            return STRING
+            return BYTES if "b" in w[:2].lower() else STRING
         if len(w) < 3:
             return _ODD
         out = [FSTART]
@@ -405,8 +416,8 @@ _AFTER_VALUE = {SCRIPT[w] for w in ("this", "super", "true", "false", "null", ")
 }
 
 
-def lex_script(text: str, jsx: bool = False) -> Tokens:
-    """JavaScript and TypeScript; with jsx, a < where a value begins opens markup."""
+def lex_script(text: str, jsx: bool = False, strict: bool = False) -> Tokens:
+    """JavaScript and TypeScript; with jsx, a < where a value begins opens markup; strict code has no numbers like 010."""
     kinds, starts, ends = [], [], []
     pos, n, prev = 1 if text[:1] == "\ufeff" else 0, len(text), ""
     frames: list[str] = []  # { for a brace, $ for a template's field, J for a field in markup
@@ -547,6 +558,8 @@ def lex_script(text: str, jsx: bool = False) -> Tokens:
                 k = NUMBER
                 if pos < n and (text[pos].isalnum() or text[pos] in "_$"):
                     raise LexError(pos, "bad number")
+                if strict and text[a] == "0" and text[a + 1 : a + 2].isdigit():
+                    raise LexError(a, "leading zeros in a number")
             elif g == "s":
                 k = STRING
             elif g == "d":
@@ -836,5 +849,5 @@ def tokens(text: str, ext: str) -> Tokens:
     """The tokens of a text in the language of an extension."""
     language = LANGUAGE_OF[ext]
     if language in ("javascript", "typescript"):
-        return lex_script(text, ext in ("jsx", "tsx"))
+        return lex_script(text, ext in ("jsx", "tsx"), ext != "cjs")
     return {"python": lex_python, "java": lex_java, "go": lex_go, "rust": lex_rust}[language](text)
