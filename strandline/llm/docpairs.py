@@ -17,7 +17,7 @@ import textwrap
 
 from ..functions.lexing import CHAR, NAME, NEWLINE, STRING, Tokens, kind
 
-CLASSES = {"classdef", "class", "interface", "enum", "record", "annotype", "trait", "impl"}
+CLASSES = {"classdef", "class", "defaultclass", "interface", "enum", "record", "annotype", "trait", "impl"}
 NAMELESS = {"arrow", "funcexpr", "classexpr"}
 FUNCTIONS = {"function", "method", "defaultfunc", "fdecl", "field"}
 

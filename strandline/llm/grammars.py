@@ -16,13 +16,13 @@ small = 'return' exprs? / 'pass' / 'break' / 'continue' / 'raise' (expr ('from'
   / ('global' / 'nonlocal') ID (',' ID)* / 'type' ID tparams? '=' expr / assignment
 import = 'import' dotted ('as' ID)? (',' dotted ('as' ID)?)* / 'from' (('.' / '...')* dotted / ('.' / '...')+) 'import' ('*' / '(' alias (',' alias)* ','? ')' / alias (',' alias)*)
 -- what has no brackets within brackets, up to where an expression ends, is one pattern
-fatom = ID / NUMBER / STRING / 'None' / 'True' / 'False'
+fatom = ID / NUMBER / STRING / BYTES / 'None' / 'True' / 'False'
 fbin = '+' / '-' / '*' / '/' / '//' / '%' / '@' / '&' / '|' / '^' / '<<' / '>>' / '**' / '==' / '!=' / '<=' / '<' / '>=' / '>' / 'in' / 'is' / 'and' / 'or'
 f0 = fatom ('.' ID)*
 e0 = f0 (fbin f0)*
 f1 = fatom ('.' ID / '(' (e0 (',' e0)*)? ')' / '[' e0 ']')*
 flat = f1 (fbin f1)* &(',' / ')' / ']' / ':' / NEWLINE / '}' / ';')
-literals = ((NUMBER / STRING) ',')+
+literals = ((NUMBER / STRING / BYTES) ',')+
 dotted = ID ('.' ID)*
 alias = ID ('as' ID)?
 assignment <- (targets '=')+ (yield / exprs) !'=' / target augop (yield / exprs) / (target / '(' target ')') ':' expr ('=' (yield / exprs))? / exprs !'=' / yield
@@ -36,7 +36,7 @@ compound = decorated / classdef / function / if / 'while' named ':' block else?
 decorated = ('@' named NEWLINE)+ (classdef / function)
 name := ID
 function := 'async'? 'def' name tparams? '(' params? ')' ('->' expr)? ':' block
-classdef := 'class' name tparams? ('(' args? ')')? ':' block
+classdef := 'class' name tparams? ('(' !(named comp) args? ')')? ':' block
 if = 'if' named ':' block ('elif' named ':' block)* else?
 else = 'else' ':' block
 for = 'async'? 'for' targets 'in' exprs ':' block else?
@@ -53,11 +53,17 @@ argpat = ID '=' pattern / pattern
 mappat = '**' ID / (strings / '-'? NUMBER (('+' / '-') NUMBER)? / 'None' / 'True' / 'False' / dotted) ':' pattern
 tparams = '[' tparam (',' tparam)* ','? ']'
 tparam = ('*' / '**')? ID (':' expr)? ('=' expr)?
-params = '/' NEVER / param (',' param)* (',' '/' (',' param)*)? (',' starparams)? ','? / starparams ','?
+params = (nparams (',' dparams (',' '/' (',' dparams)?)? / ',' '/' (',' (nparams (',' dparams)? / dparams))?)? / dparams (',' '/' (',' dparams)?)?) (',' starparams)? ','? / starparams ','?
+nparams = nparam (',' nparam)*
+dparams = dparam (',' dparam)*
+nparam = ID (':' expr)? !'='
+dparam = ID (':' expr)? '=' expr
 param = ID (':' expr)? ('=' expr)?
 starparams = '*' (ID (':' '*'? expr)?) (',' param)* (',' kwparam)? / '*' (',' param)+ (',' kwparam)? / kwparam
 kwparam = '**' ID (':' expr)?
-lparams = lparam (',' lparam)* (',' '/' (',' lparam)*)? (',' lstar)? ','? / lstar ','?
+lparams = (lnames (',' ldefaults (',' '/' (',' ldefaults)?)? / ',' '/' (',' (lnames (',' ldefaults)? / ldefaults))?)? / ldefaults (',' '/' (',' ldefaults)?)?) (',' lstar)? ','? / lstar ','?
+lnames = ID !'=' (',' ID !'=')*
+ldefaults = ID '=' expr (',' ID '=' expr)*
 lparam = ID ('=' expr)?
 lstar = '*' ID (',' lparam)* (',' '**' ID)? / '*' (',' lparam)+ (',' '**' ID)? / '**' ID
 exprs <- star_named_or (',' star_named_or)* ','?
@@ -76,14 +82,17 @@ primary <- atom suffix*
 suffix = '.' ID / '(' args? ')' / '[' slices ']'
 slices = slice (',' slice)* ','?
 slice = '*' arith / (named? ':' expr? (':' expr?)?) / named
-args <- arg (',' arg)* ','?
-arg = '*' expr / '**' expr / ID '=' expr / named comp?
+args <- named comp &')' / placed (',' placed)* (',' keyed)? ','? / keyed ','?
+placed = '*' expr / !(ID '=') named !'for' !'async'
+keyed = (keyword / '*' expr) (',' (keyword / '*' expr))* (',' doubled)? / doubled
+doubled = '**' expr (',' ('**' expr / keyword))*
+keyword = ID '=' expr
 comp <- ('async'? 'for' targets 'in' disj ('if' disj_or_lambda)*)+
 disj_or_lambda = ID ':=' expr / disj
 atom <- ID / NUMBER / strings / 'None' / 'True' / 'False' / '...' / '(' (yield / star_named comp / star_named (',' star_named)* ','?)? ')' / '[' (literals (star_named (',' star_named)* ','?)? / star_named comp / star_named (',' star_named)* ','?)? ']' / dict
 dict = '{' (pair comp / pair (',' pair)* ','? / star_named comp / star_named (',' star_named)* ','?)? '}'
 pair = '**' arith / expr ':' expr
-strings <- (STRING / FSTART field* FEND)+
+strings <- (STRING / FSTART field* FEND)+ / BYTES+
 field <- FOPEN (yield / star_named (',' star_named)* ','?) FCONV? (FSPEC field*)? FCLOSE
 """
 
@@ -95,8 +104,9 @@ stmt ~ '{' stmt* '}' / declaration / 'if' '(' expr ')' stmt ('else' stmt)? / 'fo
   / 'switch' '(' expr ')' '{' (('case' expr / 'default') ':' stmt*)* '}' / 'debugger' end / ';' / ID ':' stmt @WITH@ / !notexpr expr end
 notexpr = 'function' / 'class' / '{' / 'async' !^ 'function' / 'let' '['
 declaration = function / class / vars end @TSDECL@
-vars <- ('var' / 'const' / 'let' &(ID / '[' / '{')) declarator (',' declarator)*
-declarator = fdecl / binding '!'? @ANN@ ('=' assign)?
+vars <- 'const' @CONST@ (',' @CONST@)* / 'let' &(ID / '[' / '{') !'let' declarator (',' !'let' declarator)* / 'var' declarator (',' declarator)*
+declarator = fdecl / ID '!'? @ANN@ ('=' assign)? / binding '!'? @ANN@ @PATTERN@
+constant = !'let' (fdecl / binding @ANN@ '=' assign)
 name := key
 fdecl := name @ANN@ '=' &('function' / 'class' / 'async' / '(' / '<' / ID '=>') assign
 end = ';' / &'}' / &EOF / ^
@@ -104,7 +114,8 @@ forhead <- ('var' / 'const' / 'let') binding ('of' assign / 'in' expr) / lhs ('o
 function := @ASYNC@ 'function' '*'? name @TPARAMS@ '(' params ')' @RET@ (body @NOBODY@)
 funcexpr := @ASYNC@ 'function' '*'? ID? @TPARAMS@ '(' params ')' @RET@ body
 body <- '{' stmt* '}'
-class := @DECO@ @ABSTRACT@ 'class' (!'implements' &ID name)? classrest
+class := @DECO@ @ABSTRACT@ 'class' !'implements' &ID name classrest
+defaultclass := @DECO@ @ABSTRACT@ 'class' (!'implements' &ID name)? classrest
 classexpr := @DECO@ 'class' (!'implements' ID)? classrest
 classrest = @TPARAMS@ ('extends' lhs @TARGS@)? @IMPLEMENTS@ '{' member* '}'
 member <- ';' / @MEMBERMORE@ 'static' body / method / field
@@ -125,13 +136,13 @@ e0 = f0 (fbin f0)*
 f1 = fatom (('.' / '?.') IDN / '(' (e0 (',' e0)*)? ')' / '[' e0 ']')*
 flat = f1 (fbin f1)* &(',' / ')' / ']' / ';' / '}' / ':')
 expr <- assign (',' assign)*
-assign <- flat / arrow / 'yield' (!^ '*'? assign)? / lhs asgop assign / cond
+assign <- flat / arrow / 'yield' (!^ '*'? assign)? / !((NUMBER / STRING / 'null' / 'true' / 'false' / 'this' / TEMPLATE / REGEX) asgop) lhs asgop assign / cond
 asgop = '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '>>=' / '>>>=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??='
 arrow := ('async' !^)? (ID / @TPARAMS@ '(' params ')' @RET@) !^ '=>' (body / !'{' assign)
 cond <- binary ('?' assign ':' assign)?
 binary = unary (binop unary @AS@)*
 binop = '+' / '-' / '*' / '/' / '%' / '**' / '<<' / '>' '>'? '>'? / '<' / '<=' / '>=' / '==' / '!=' / '===' / '!==' / '&' / '|' / '^' / '&&' / '||' / '??' / 'in' / 'instanceof'
-unary <- ('delete' / 'void' / 'typeof' / '+' / '-' / '~' / '!' / '++' / '--' / 'await' @CAST@) unary / PRIVATE 'in' lhs / lhs (!^ ('++' / '--'))?
+unary <- @DELETE@ ('delete' / 'void' / 'typeof' / '+' / '-' / '~' / '!' / '++' / '--' / 'await' @CAST@) unary / PRIVATE 'in' lhs / lhs (!^ ('++' / '--'))?
 lhs <- (new / primary) suffix*
 new <- 'new' ('.' 'target' / (new / primary) newsuffix* @TARGS@ arguments?)
 newsuffix = '.' (IDN / PRIVATE) / '[' expr ']' / template
@@ -148,7 +159,7 @@ jname = JNAME (('.' / ':') JNAME)*
 attr = JNAME (':' JNAME)? ('=' (STRING / '{' assign '}' / jsx))? / '{' '...' assign '}'
 child <- JTEXT / '{' ('...'? expr)? '}' / jsx
 """
-IMPORTS = r"""'import' !('(' / '.') (STRING / @TYPEKW@ clause 'from' STRING) ('with' object)? end @IMPORTEQ@ / 'export' (('*' ('as' (IDN / STRING))? 'from' STRING / @TYPEKW@ '{' (spec ',')* spec? '}' ('from' STRING)?) ('with' object)? end / 'default' (defaultfunc / class / @DEFAULTMORE@ !'class' assign end) / declaration @EXPORTMORE@) / @DECOEXPORT@"""
+IMPORTS = r"""'import' !('(' / '.') (STRING / @TYPEKW@ clause 'from' STRING) ('with' object)? end @IMPORTEQ@ / 'export' (('*' ('as' (IDN / STRING))? 'from' STRING / @TYPEKW@ '{' (spec ',')* spec? '}' ('from' STRING)?) ('with' object)? end / 'default' (defaultfunc / defaultclass / @DEFAULTMORE@ !'class' assign end) / declaration @EXPORTMORE@) / @DECOEXPORT@"""
 IMPORT_RULES = r"""
 clause = (ID (',' (star / named))? / star / named)
 star = '*' 'as' ID
@@ -184,9 +195,9 @@ TS = {
     "ANN": "ann?", "WITH": "", "TSDECL": "/ interface / typealias / enum / namespace / declare", "TPARAMS": "tparams?", "RET": "ann?", "NOBODY": "/ end", "DECO": "decorator*", "ABSTRACT": "'abstract'?", "TARGS": "targs?",
     "IMPLEMENTS": "('implements' heritage (',' heritage)*)?", "MEMBERMORE": "mods '[' ID ':' type ']' ann? end /", "OPTMARK": "('?' / '!')?", "MODS": "MODWORD", "PMODS": "('public' / 'private' / 'protected' / 'readonly' / 'override')*", "QUEST": "'?'?", "THISPARAM": "/ 'this' ann",
     "AS": "/ !^ ('as' / 'satisfies') ('const' / type)", "TSSUFFIX": "/ !^ '!' / targs (arguments / template)", "TYPEKW": "('type' !('from' STRING / ',' / '}' / 'as' IDN (',' / '}')))?", "IMPORTEQ": "/ 'import' 'type'? ID '=' ('require' '(' STRING ')' / ID ('.' IDN)*) end", "DEFAULTMORE": "interface /",
-    "EXPORTMORE": "/ '=' expr end / 'as' 'namespace' ID end / 'import' ID '=' ('require' '(' STRING ')' / ID ('.' IDN)*) end", "DECOEXPORT": "decorator+ 'export' 'default'? class /", "JTARGS": "targs?", "LT": "'<' /",
+    "EXPORTMORE": "/ '=' expr end / 'as' 'namespace' ID end / 'import' ID '=' ('require' '(' STRING ')' / ID ('.' IDN)*) end", "DECOEXPORT": "decorator+ 'export' ('default' defaultclass / class) /", "JTARGS": "targs?", "LT": "'<' /", "CONST": "declarator", "PATTERN": "('=' assign)?",
 }
-JS = dict.fromkeys(TS, "") | {"MODS": "'static'", "LT": ""}
+JS = dict.fromkeys(TS, "") | {"MODS": "'static'", "LT": "", "CONST": "constant", "PATTERN": "'=' assign"}
 
 JAVA = r"""
 file <- modifiers? moduledecl EOF / (annotation* 'package' qualified ';')? ('import' 'static'? qualified ('.' '*')? ';' / ';')* (typedecl / ';')* EOF
@@ -241,7 +252,7 @@ finally = 'finally' block
 resource = modifier* type ID '=' expr / expr
 localvar = modifier* type declarators
 switch <- 'switch' '(' expr ')' '{' (label '->' (block / 'throw' expr ';' / expr ';'))+ '}' / 'switch' '(' expr ')' '{' ((label ':')+ stmt*)* '}'
-label = 'default' / 'case' caseitem (',' caseitem)* ('when' expr)?
+label = 'default' / 'case' caseitem (',' caseitem)* ('when' ternary)?
 caseitem = 'default' / pattern / ternary !'->x'
 pattern <- modifier* type '(' (pattern (',' pattern)*)? ')' (!'when' ID)? / modifier* type ID
 expr <- flat / lambda / lhs asgop expr / ternary
@@ -372,23 +383,28 @@ expr0 = expr
 pattern <- '|'? pat ('|' pat)*
 pat <- '_' / '..' / ('ref'? 'mut'? ID !('::' / '(' / '{' / '!' / '..' / '..=') ('@' pat)?) / ('&' / '&&') 'mut'? pat / '(' (pattern (',' pattern)* ','?)? ')' / '[' (pattern (',' pattern)* ','?)? ']' / rangepat / '<' type ('as' path)? '>' ('::' segment)+
   / expath ('!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / '{' (fieldpat (',' fieldpat)* ','?)? '}' / '(' (pattern (',' pattern)* ','?)? ')')? / 'box' pat
-rangepat = (litpat / expath) ('..=' / '...' / '..') (litpat / expath)? / ('..=' / '..') (litpat / expath) / litpat
+rangepat = (litpat / expath) (('..=' / '...') (litpat / expath) / '..' (litpat / expath)?) / ('..=' / '..') (litpat / expath) / litpat
 litpat = '-'? NUMBER / STRING / CHAR / 'true' / 'false'
 fieldpat = attr* ('..' / (ID / NUMBER) ':' pattern / 'ref'? 'mut'? ID)
 fatom = ID ('::' ID)* / NUMBER / STRING / CHAR / 'true' / 'false'
-fbin = '+' / '-' / '*' / '/' / '%' / '<<' / '<' / '<=' / '>=' / '==' / '!=' / '&' / '|' / '^' / '&&' / '||' / '>'
+fbin = '+' / '-' / '*' / '/' / '%' / '<<' / '&' / '|' / '^'
+compare = '<' / '<=' / '>=' / '==' / '!=' / '>'
 f0 = fatom ('.' ID)*
-e0 = f0 (fbin f0)*
+c0 = f0 (fbin f0)* (compare f0 (fbin f0)*)?
+e0 = c0 (('&&' / '||') c0)*
 f1 = fatom ('.' ID / '(' (e0 (',' e0)*)? ')' / '[' e0 ']')*
-flat = f1 (fbin f1)* &(',' / ')' / ']' / ';' / '}')
+c1 = f1 (fbin f1)* (compare f1 (fbin f1)*)?
+flat = c1 (('&&' / '||') c1)* &(',' / ')' / ']' / ';' / '}')
 expr <- flat / attr* (jump / closure / range)
 jump = 'return' expr? / 'break' LIFETIME? expr? / 'continue' LIFETIME? / 'yield' expr?
 closure = 'static'? 'async'? 'move'? ('||' / '|' (pattern1 (':' type)? (',' pattern1 (':' type)?)* ','?)? '|') ('->' type block / expr)
 pattern1 = attr* pat
-range = ('..=' / '..') binary? / binary (asgop expr / ('..=' / '..') binary?)?
+range = '..=' binary / '..' binary? / binary (asgop expr / '..=' binary / '..' binary?)?
 asgop = '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>='
-binary <- unary (binop (jump / closure / unary) / 'as' type)*
-binop = '+' / '-' / '*' / '/' / '%' / '<<' / '>' '>' / '>' / '<' / '<=' / '>=' / '==' / '!=' / '&' / '|' / '^' / '&&' / '||'
+binary <- compared (('&&' / '||') (jump / closure / compared))*
+compared = bits (compare (jump / closure / bits))? !compare
+bits <- unary (binop (jump / closure / unary) / 'as' type)*
+binop = '+' / '-' / '*' / '/' / '%' / '<<' / '>' '>' / '&' / '|' / '^'
 unary <- ('-' / '!' / '*' / ('&' / '&&') ('raw' ('const' / 'mut'))? 'mut'?) unary / 'let' pattern '=' unary / primary
 primary <- atom suffix*
 suffix = '.' ('await' / ID ('::' targs)? / NUMBER) / '(' (expr (',' expr)* ','?)? ')' / '[' expr ']' / '?'
@@ -397,8 +413,10 @@ expath <- '::'? esegment ('::' esegment)*
 esegment = ID ('::' targs)?
 structbody <- '{' (attr* (ID / NUMBER) (':' expr)? (',' attr* (ID / NUMBER) (':' expr)?)* (',' ('..' expr?)?)? / '..' expr?)? '}'
 nexpr <- attr* (jump / closure / nrange)
-nrange = ('..=' / '..') nbinary? / nbinary (asgop nexpr / ('..=' / '..') nbinary?)?
-nbinary <- nunary (binop nunary / 'as' type)*
+nrange = '..=' nbinary / '..' nbinary? / nbinary (asgop nexpr / '..=' nbinary / '..' nbinary?)?
+nbinary <- ncompared (('&&' / '||') ncompared)*
+ncompared = nbits (compare nbits)? !compare
+nbits <- nunary (binop nunary / 'as' type)*
 nunary <- ('-' / '!' / '*' / ('&' / '&&') 'mut'?) nunary / 'let' pattern '=' nunary / nprimary
 nprimary <- natom suffix*
 natom <- blockexpr / NUMBER / STRING+ / CHAR / 'true' / 'false' / '(' (expr (',' expr)* ','?)? ')' / '[' ((NUMBER / STRING / CHAR) ',')* (expr (';' expr / (',' expr)* ','?))? ']' / '<' type ('as' path)? '>' ('::' esegment)+ / expath '!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / expath / closure / jump
@@ -423,7 +441,7 @@ def _fill(text: str, parts: dict[str, str]) -> str:
 
 
 def _script(module: bool, types: bool) -> Grammar:
-    parts = {**(TS if types else JS), "ASYNC": "('async' !^)?", "CAST": "", "IMPORTS": IMPORTS if module else ""}
+    parts = {**(TS if types else JS), "ASYNC": "('async' !^)?", "CAST": "", "IMPORTS": IMPORTS if module else "", "DELETE": "!('delete' ID !('.' / '?.' / '[' / '(' / '!' / TEMPLATE / HEAD))" if module else ""}
     if types:
         parts["CAST"] = "/ '<' type '>'"
     text = _fill(SCRIPT + (IMPORT_RULES if module else "") + (TYPES if types else ""), parts)

@@ -18,7 +18,7 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.verdicts(table(spark, d, "parsed_files")).where("not valid").select("file_id").distinct()
+    return syntax.answers(table(spark, d, "parsed_files")).where("not valid").select("file_id").distinct()
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.rates(syntax.verdicts(table(spark, d, "parsed_files")))
+    return syntax.rates(syntax.answers(table(spark, d, "parsed_files")))
 
 
 def _not_hand_written(spark: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,9 @@
 """Source files that do not parse, by packrat grammars that must consume a whole file.
 
-Each task parses its files; a text that came up in the same task is answered from memory, so copies cost one parse a
-task and nothing is shuffled but the verdicts.
+Nothing is shuffled but the verdicts; texts are not kept from one file to the next.
 
 Defined results: null and empty contents and files of comments only are valid; an unknown or missing extension gives no
-verdict (valid is null), as does nesting beyond DEPTH; repeated rows give one verdict; columns beyond those named are
+verdict (valid is null); nesting of any depth is parsed; repeated rows give one verdict; columns beyond those named are
 ignored; an empty table gives no rows.
 """
 
@@ -16,16 +15,18 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexing import LANGUAGE_OF, LexError, extension, tokens
 from .docpairs import description, documentation, functions, says_nothing
 from .grammars import grammar
 
-DEPTH = 60_000
-REMEMBERED = 4_000
-_MARK = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?: |$)", re.M)
+#: Python frames that a parse may need at first, and for each token of a deeply nested text.
+DEPTH, FRAMES = 20_000, 40
+_OURS, _THEIRS = re.compile(r"^<{7}(?: |\r?$)", re.M), re.compile(r"^>{7}(?: |\r?$)", re.M)
+#: Extensions that stand for the others of their language where another language is tried.
+TRIED = ("py", "js", "tsx", "ts", "java", "go", "rs")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -34,10 +35,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
+def _deep(work, size: int):
+    """What work() gives, with as many frames as a text of so many tokens can need."""
+    try:
+        return work()
+    except RecursionError:
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, FRAMES * size + DEPTH))
+        try:
+            return work()
+        finally:
+            sys.setrecursionlimit(before)
+
+
 def parse(content: str, ext: str):
     """(tokens, nodes) of a valid text; raises LexError or returns (tokens, None) for others."""
-    t = tokens(content, ext)
-    return t, grammar(ext).parse(t.kinds)
+    t = _deep(lambda: tokens(content, ext), len(content))
+    return t, _deep(lambda: grammar(ext).parse(t.kinds), len(t.kinds))
+
+
+def is_valid(content: str | None, ext: str) -> bool | None:
+    if ext not in LANGUAGE_OF:
+        return None
+    try:
+        return not content or parse(content, ext)[1] is not None
+    except LexError:
+        return False
 
 
 def verdict(content: str | None, ext: str) -> tuple:
@@ -49,21 +72,20 @@ def verdict(content: str | None, ext: str) -> tuple:
     try:
         t, nodes = parse(content, ext)
     except LexError as e:
-        return False, min(e.at, len(content)), _cause(content, e.at, e.cause), None
-    except RecursionError:
-        return None, None, "nested too deep", None
+        return False, min(e.at, len(content)), _cause(content, ext, e.at, e.cause), None
     if nodes is not None:
         return True, None, None, None
-    try:
-        at, wanted = grammar(ext).furthest(t.kinds)
-    except RecursionError:
-        return False, None, "syntax", None
-    return False, t.starts[at], _cause(content, t.starts[at], "syntax"), " ".join(wanted[:12])
+    at, wanted = _deep(lambda: grammar(ext).furthest(t.kinds), len(t.kinds))
+    return False, t.starts[at], _cause(content, ext, t.starts[at], "syntax"), " ".join(wanted)
 
 
-def _cause(content: str, at: int, cause: str) -> str:
-    if any(abs(m.start() - at) < 2000 for m in _MARK.finditer(content)):
+def _cause(content: str, ext: str, at: int, cause: str) -> str:
+    """Both markers of a conflict, wherever they stand; a text of another language; an end too early; else what stopped the parse."""
+    ours = _OURS.search(content)
+    if ours and _THEIRS.search(content, ours.end()):
         return "merge conflict"
+    if any(LANGUAGE_OF[e] != LANGUAGE_OF[ext] and is_valid(content, e) for e in TRIED):
+        return "wrong extension"
     return "truncated" if not content[at:].strip() else cause
 
 
@@ -75,22 +97,29 @@ def _settle() -> None:
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     _settle()
-    seen: dict = {}
     for b in batches:
         rows = []
         for path, content in zip(b["file_path"], b["content"]):
             ext = extension(path)
-            key = (ext, content)
-            if key not in seen:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                ok, at, cause, wanted = verdict(content, ext)
-                seen[key] = (LANGUAGE_OF.get(ext), ok, at, None if at is None else content.count("\n", 0, at) + 1, cause, wanted)
-            rows.append(seen[key])
+            ok, at, cause, wanted = verdict(content, ext)
+            rows.append((LANGUAGE_OF.get(ext), ok, at, None if at is None else content.count("\n", 0, at) + 1, cause, wanted))
         out = pd.DataFrame(rows, columns=["language", "valid", "failed_at", "failed_line", "cause", "wanted"], dtype=object)
         yield pd.concat([b[["file_id", "repo_id"]].reset_index(drop=True), out], axis=1)
 
 
+def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    _settle()
+    for b in batches:
+        exts = [extension(p) for p in b["file_path"]]
+        yield pd.DataFrame({"file_id": b["file_id"], "repo_id": b["repo_id"], "language": [LANGUAGE_OF.get(e) for e in exts], "valid": pd.array([is_valid(c, e) for c, e in zip(b["content"], exts)], dtype="boolean")})
+
+
+def answers(files: DataFrame) -> DataFrame:
+    """One row a row of files: its language and whether it parses, without the reason."""
+    rows = spread(files.select("file_id", "repo_id", "file_path", "content"))
+    return rows.mapInPandas(_answers, "file_id bigint, repo_id int, language string, valid boolean")
+
+
 def verdicts(files: DataFrame) -> DataFrame:
     """One row a row of files, with the verdict on its content."""
     rows = spread(files.select("file_id", "repo_id", "file_path", "content"))
@@ -103,28 +132,29 @@ def rates(judged: DataFrame) -> DataFrame:
     return once.where("valid is not null").groupBy("repo_id", "language").agg(F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid")).withColumn("rate", F.col("invalid") / F.col("files"))
 
 
+def may_document(path: Column, content: Column) -> Column:
+    """Whether a text holds what documentation of its language looks like: without that it has no documented function."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    opens_a_body = content.rlike(r":(?:[ \t\f\r\n]|\\\r?\n|#[^\n]*\n)*+[rRuU]?[\"']")
+    above_func = content.rlike(r"(?://[^\n]*\n|\*/[ \t\r]*\n?)[ \t]*func\b")
+    return F.when(ext == "py", opens_a_body).when(ext == "go", above_func).when(ext == "rs", content.contains("///") | content.contains("/**") | content.contains("doc")).otherwise(content.contains("/**"))
+
+
 def _pairs(batches: Iterator[pd.DataFrame], with_code: bool = True) -> Iterator[pd.DataFrame]:
     _settle()
-    seen: dict = {}
     for b in batches:
         rows = []
         for file_id, repo_id, path, content in zip(b["file_id"], b["repo_id"], b["file_path"], b["content"]):
             ext = extension(path)
-            if not content or ext not in LANGUAGE_OF:
-                continue
-            key = (ext, content)
-            if key not in seen:
-                if len(seen) >= REMEMBERED // 4:
-                    seen.clear()
-                seen[key] = list(_documented(content, ext, with_code))
-            rows += [(file_id, repo_id, *x) for x in seen[key]]
+            if content and ext in LANGUAGE_OF:
+                rows += [(file_id, repo_id, *x) for x in _documented(content, ext, with_code)]
         yield pd.DataFrame(rows, columns=["file_id", "repo_id", "language", "qualified_name", "kind", "line_start", "line_end", "description", "code"][: None if with_code else 5])
 
 
 def _documented(content: str, ext: str, with_code: bool = True):
     try:
         t, nodes = parse(content, ext)
-    except (LexError, RecursionError):
+    except LexError:
         return
     language = LANGUAGE_OF[ext]
     for name, what, first, at, end in functions(t, nodes or [], language):
@@ -142,7 +172,7 @@ def _documented(content: str, ext: str, with_code: bool = True):
 
 def pairs(files: DataFrame, with_code: bool = True) -> DataFrame:
     """Every documented function of every file that parses; with_code: with its lines, description and code."""
-    rows = spread(files.select("file_id", "repo_id", "file_path", "content"))
+    rows = spread(files.select("file_id", "repo_id", "file_path", "content")).where(may_document(F.col("file_path"), F.col("content")))
     schema = "file_id bigint, repo_id int, language string, qualified_name string, kind string"
     if with_code:
         return rows.mapInPandas(_pairs, schema + ", line_start int, line_end int, description string, code string")

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 from strandline.functions.lexing import LexError, _lex_go_slow, _lex_java_slow, _lex_python_slow, _lex_rust_slow, lex_go, lex_java, lex_python, lex_rust, tokens
+from strandline.llm import syntax
 from strandline.llm.grammars import grammar
 from strandline.llm.syntax import verdict
 
@@ -14,14 +15,14 @@ VALID = {
     "py": [
         "", "# only\n", "x = 1", "def f(a, /, b: int = 2, *c, d, **e) -> dict[str, int]:\n    '''doc'''\n    return {**e, 'a': [*c]}\n", "class A(B, metaclass=M):\n    x: int = 3\n\n    @p.q(1)\n    async def f(self):\n        async with a as b, c:\n            await d\n        return [i async for i in x if i]\n",
         "match x:\n    case {'a': [1, *r], **k} if r:\n        pass\n    case A.B | C(d=1) as e:\n        pass\n    case _:\n        pass\n", "f'{a!r:>{w}} {b[\"k\"]} {{}} {c=}'\n", "try:\n    pass\nexcept* (A, B) as e:\n    raise X from e\nelse:\n    pass\nfinally:\n    del a[0], b.c\n", "x = yield\ny = lambda *a, b=1: (yield)\n", "if (n := f()) > 1: print(n); pass\n",
-        "with (open(a) as f, open(b)):\n    pass\n", "a = b = c, *d = e\nx += 1,\n", "type X[T] = list[T]\ndef g[T: int](x: T): ...\n", "match = case = type = 1\nmatch(x)\n", "x = (1,\n  2)  # c\n\n\tif_ = 3\n" if False else "x = (1,\n  2)\n",
+        "with (open(a) as f, open(b)):\n    pass\n", "a = b = c, *d = e\nx += 1,\n", "type X[T] = list[T]\ndef g[T: int](x: T): ...\n", "match = case = type = 1\nmatch(x)\n", "def f(a, b=1, /, c=2, *, d, e=3, **g): pass\ndef h(a, /, b): f(a, *b, c=1, *d, e=2, **g, h=3)\nx = lambda a, /, b=1, *c, d: f(i for i in a)\ny = b'a' b'c' + rb'd'\nclass A(*b, m=1, **k): pass\n", "x\U000e0100 = 1\n\u2118a = f'{1+2 = # c\n }'\n", "x = (1,\n  2)  # c\n\n\tif_ = 3\n" if False else "x = (1,\n  2)\n",
     ],
     "js": [
         "", "// c\n", "import a, { b as c } from 'x';\nexport default class extends A { #p = 1; static { f(); } get x() { return this.#p } async *g() { yield* h } }\n", "const f = async (a, { b = 1, ...c }, [d, , e] = []) => ({ a, [b]: c, get d() { return 1 } })\n", "for (const [k, v] of Object.entries(x)) if (k) continue; else break\n",
-        "a?.b?.[c]?.(d) ?? e ** 2\nlet r = /[/\\]}]+/g.test(s) ? `a${`b${c}`}d` : x / y / z\n", "label: for (var i = 0, n = 3; i < n; i++) { switch (i) { case 1: default: } }\n", "export { x as default } from './y.js'\nexport * as z from 'z'\nif (a) { } else if (b) c()\ndo x++; while (x < 3)\n", "var a = b\n++c\n",
+        "a?.b?.[c]?.(d) ?? e ** 2\nlet r = /[/\\]}]+/g.test(s) ? `a${`b${c}`}d` : x / y / z\n", "label: for (var i = 0, n = 3; i < n; i++) { switch (i) { case 1: default: } }\n", "export { x as default } from './y.js'\nexport * as z from 'z'\nif (a) { } else if (b) c()\ndo x++; while (x < 3)\n", "var a = b\n++c\n", "for (const a of b) ; for (const {c} of d) ; for (let e; ;) ; var {f} = g, h;\ndelete a.b; delete a[b]; delete f().c; 'a'.b = 1; let async = 1;\nexport default class { }\n",
     ],
     "jsx": ["export const A = () => <div className=\"x\" {...p}>don't (stop {n ? <B.C a={1} /> : null} &amp; it's</div>;\n", "const x = a < b && c > d;\nreturn_(<><i/>text</>)\n"],
-    "cjs": ["const a = require('a');\nmodule.exports = function () { return a };\n"],
+    "cjs": ["x = 010; delete x;\n", "const a = require('a');\nmodule.exports = function () { return a };\n"],
     "ts": [
         "interface A<T extends B = C> extends D<T>, E { readonly x?: number; [k: string]: any; m<U>(a: U): void; new (x: T): A<T> }\n", "type F = (a: string, ...b: number[]) => a is string;\ntype M = { readonly [K in keyof T]?: T[K] };\ntype C2<T> = T extends (infer U)[] ? U : never;\n",
         "@Dec({ a: 1 })\nexport abstract class X<T> extends Y<T> implements Z { constructor(private readonly a: string, public b?: number) { super() } @memo() protected async f<U>(this: X, x: U[]): Promise<Map<string, Array<U>>> { return x as unknown as any } abstract g(): void; declare y: string; h!: number }\n",
@@ -30,7 +31,7 @@ VALID = {
     "tsx": ["const C = ({ a }: Props): JSX.Element => <Foo on={(e: Event) => e!}>{a as string}</Foo>;\nconst g = <T,>(x: T) => x;\n"],
     "java": [
         "package a.b;\nimport static a.B.*;\n@Ann(x = {1, 2}, y = @Z)\npublic abstract class A<T extends B & C> extends D<T[]> implements E<?>, F { private final Map<String, List<? super T>> m = new HashMap<>() {{ put(\"a\", null); }}; static { int x = 1; } A(int... a) throws X { this(1); } @Override public <U> U f(final T t) { for (var x : m.entrySet()) { if (x instanceof Foo f && f.y() > 1) continue; } return (U) (Object) t; } }\n",
-        "enum E implements I { A(1) { void f() { } }, B; E(int... x) { } }\nrecord R<T>(int a, T... b) implements S { R { a++; } }\nsealed interface S permits R, Q { default int g() { return switch (x) { case 1, 2 -> 3; case R(int a, var b) when a > 1 -> { yield 4; } default -> throw new X(); }; } }\n@interface N { int v() default 1; }\n",
+        "enum E implements I { A(1) { void f() { } }, B; E(int... x) { } }\nrecord R<T>(int a, T... b) implements S { R { a++; } }\nsealed interface S permits R, Q { default int g() { return switch (x) { case 1, 2 -> 3; case R(int a, var b) when a > 1 -> { yield 4; } case Q q when b -> 5; case Q q when !b && c -> 6; default -> throw new X(); }; } }\n@interface N { int v() default 1; }\n",
         "class L { Runnable r = () -> { }; F<A, B> g = (a, b) -> a.c(b)::d; int[][] z = {{1}, {}}; int y = new int[3][].length; void f() { try (var a = b(); c) { } catch (X | Y e) { } finally { } a.<T>b(); int.class.f(); String s = \"\"\"\n  x \"q\" \"\"\"; L[]::new; } }\n".replace(" L[]::new;", " Object o = L[]::new;"),
     ],
     "go": [
@@ -39,18 +40,18 @@ VALID = {
     ],
     "rs": [
         "#![allow(x)]\nuse a::{b, c::{self, d as e}, *};\n#[derive(Debug)]\npub(crate) struct S<'a, T: B + 'a = C, const N: usize>(pub &'a mut T, [u8; N]) where T: ?Sized;\nenum E { A = 1, B { x: i32 }, C(u8) }\nimpl<'a, T> Tr<T> for S<'a, T> where T: Fn(i32) -> u8 { type O = Vec<Option<T>>; const X: u8 = b'a'; fn f(&mut self, (a, _): (u8, i8)) -> Result<(), Box<dyn Er + 'a>> { let Some(x) = y else { return Ok(()) }; if let A::B { x, .. } = z && c { loop { break 'l } } match x { 1..=2 | -3 => {} A(ref b @ 1) if b > 0 => f(), _ => return, } v.iter().map(|&x| x + 1).collect::<Vec<_>>()?; s![a; b]; x as u8 < 3; Ok(()) } }\n",
-        "macro_rules! m { ($x:expr) => { $x + 1 }; }\nunsafe extern \"C\" { fn g(a: *const u8, ...) -> !; }\nasync fn h() { async move { x.await? }; let c = move |a: i32| -> i32 { a }; r#\"a \"q\" b\"#; while let Some(P { a, b: c }) = it.next() { } }\ntrait T: A + B { fn d(&self) { } }\n",
+        "macro_rules! m { ($x:expr) => { $x + 1 }; }\nunsafe extern \"C\" { fn g(a: *const u8, ...) -> !; }\nasync fn h() { async move { x.await? }; let c = move |a: i32| -> i32 { a }; r#\"a \"q\" b\"#; while let Some(P { a, b: c }) = it.next() { } }\ntrait T: A + B { fn d(&self) { } }\n", "fn f() { a < b && c > d || e as u8 == 3; (a == b) == c; a >> 2 < b; for i in 0..=n { } match x { 1..=2 => {} 3.. => {} ..=4 => {} } let r = ..=5; let s = a..; x = y == z; }\n",
     ],
 }
 INVALID = {
-    "py": ["def f(:\n  pass", "x = (1", "if a:\nb", "print 'x'", "f() = 1", "a b", "def f():\n", "x = 'abc", "<<<<<<< HEAD\nx = 1\n", "  x = 1\n", "class A {\n}\n", "return = 1", "for x in:\n  pass", "x = [1, 2\ny = 3\n", "f'{a'", "a = not b == not c", "lambda x=1, y: 0" if False else "f(**k, *a b)"],
-    "js": ["let a = ;", "function f( { }", "const x: number = 1;", "class A { x() { }", "interface A { }", "<div/>", "return }", "import x from", "@d class A { }", "a => { } b", "if (a) else b", "=======\n", "x = `a${b`", "package main\n"],
-    "cjs": ["import a from 'a';\n", "export const x = 1;\n"],
+    "py": ["def f(:\n  pass", "x = (1", "if a:\nb", "print 'x'", "f() = 1", "a b", "def f():\n", "x = 'abc", "<<<<<<< HEAD\nx = 1\n", "  x = 1\n", "class A {\n}\n", "return = 1", "for x in:\n  pass", "x = [1, 2\ny = 3\n", "f'{a'", "a = not b == not c", "f(**k, *a b)", "def f(a=1, b): pass", "lambda x=1, y: 0", "f(a=1, 2)", "f(**k, *a)", "class A(x for x in y): pass", "x = 'a' b'c'", "f(x for x in y, 1)", "def f(a, /, b=1, c): pass"],
+    "js": ["let a = ;", "function f( { }", "const x: number = 1;", "class A { x() { }", "interface A { }", "<div/>", "return }", "import x from", "@d class A { }", "a => { } b", "if (a) else b", "=======\n", "x = `a${b`", "package main\n", "const a;", "class { }", "1 = 2", "let let = 1", "x = 010", "delete x", "let {a};", "const {a};", "let [b], c;"],
+    "cjs": ["const a;", "import a from 'a';\n", "export const x = 1;\n"],
     "ts": ["let a: = 1;", "function f(a: string { }", "interface A { x: }", "const a = <div>x</div>;", "class A { f(): void { }"],
     "jsx": ["const a = <div>x</span>;", "const a = <div>;", "const a = <p>a > b</p>;"],
     "java": ["class A { void f() { ", "class A { int x }", "public void f() { }", "class A { void f() { int = 3; } }", "package a\nclass A { }", "class A { void f() { 1 + 2; } }", "func main() { }"],
     "go": ["package p\nfunc f( {\n}\n", "func f() { }\n", "package p\nx := 1\n", "package p\nfunc f() {\n", "class A { }"],
-    "rs": ["fn f( { }", "fn f() { let x = 1 let y = 2; }", "struct A { x: }", "fn f() -> { }", "fn f() {", "package a;", "impl A for { }", "fn f() { x = ; }"],
+    "rs": ["fn f( { }", "fn f() { let x = 1 let y = 2; }", "struct A { x: }", "fn f() -> { }", "fn f() {", "package a;", "impl A for { }", "fn f() { x = ; }", "fn f() { a < b < c; }", "fn f() { a == b == c; }", "fn f() { let y = x ..=; }", "fn f() { if a == b == c { } }", "fn f() { match x { 1..= => {} } }"],
 }
 
 
@@ -73,19 +74,27 @@ def test_unknown_and_empty():
 
 def test_cause():
     assert verdict("def f():\n    x = (1,\n", "py")[2] == "truncated"
-    assert verdict("a = 1\n<<<<<<< HEAD\nb = 2\n=======\n>>>>>>> x\n", "py")[2] == "merge conflict"
+    far = "a = 1\n" * 2000
+    assert verdict(f"{far}<<<<<<< HEAD\nb = 2\n=======\n{far}>>>>>>> x\n", "py")[2] == "merge conflict"
+    assert verdict("x = (\n" + far + "<<<<<<< HEAD\nb = 2\n=======\n>>>>>>> x\n", "py")[2] == "merge conflict"
+    assert verdict("Title\n=======\n", "py")[2] == "syntax"
+    assert verdict("package a;\nclass B { int c; }\n", "py")[2] == "wrong extension"
+    assert verdict("def f(a):\n    return a\n", "java")[2] == "wrong extension"
+    assert len(verdict("x = = 1\n", "py")[3].split()) > 12
 
 
 def test_deep_nesting_gives_a_verdict():
-    import sys
-
-    before = sys.getrecursionlimit()
-    sys.setrecursionlimit(60_000)
-    try:
-        assert verdict("x = " + "(" * 150 + "1" + ")" * 150, "js")[0] is True
-        assert verdict("x = " + "[" * 30_000 + "]" * 30_000, "js")[0] in (True, None)
-    finally:
-        sys.setrecursionlimit(before)
+    for ext, a, b in (("js", "(", ")"), ("js", "[", "]"), ("rs", "(", ")")):
+        text = "x = " + a * 8_000 + "1" + b * 8_000
+        assert verdict(f"fn f() {{ {text}; }}" if ext == "rs" else text, ext)[0] is True
+        assert verdict(f"fn f() {{ {text}{b}; }}" if ext == "rs" else text + b, ext)[0] is False
+
+
+def test_answers_are_the_verdicts(spark):
+    rows = [(i, 1, f"a.{e}", t) for i, (e, t) in enumerate([*((e, t) for e, ts in VALID.items() for t in ts), *((e, t) for e, ts in INVALID.items() for t in ts), ("txt", "x"), ("py", None)])]
+    files = spark.createDataFrame([*rows, (99_999, None, None, "x")], "file_id bigint, repo_id int, file_path string, content string")
+    assert sorted(map(tuple, syntax.answers(files).collect()), key=str) == sorted((tuple(r)[:4] for r in syntax.verdicts(files).collect()), key=str)
+    assert syntax.answers(files.where("false")).count() == 0
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test data")
