@@ -24,7 +24,7 @@ from .grammars import grammar
 
 #: Python frames that a parse may need at first, and for each token of a deeply nested text.
 DEPTH, FRAMES = 20_000, 40
-_OURS, _THEIRS = re.compile(r"^<{7}(?: |\r?$)", re.M), re.compile(r"^>{7}(?: |\r?$)", re.M)
+_CONFLICT = re.compile(r"^(?:<{7}|>{7})(?: |\r?$)", re.M)
 #: Extensions that stand for the others of their language where another language is tried.
 TRIED = ("py", "js", "tsx", "ts", "java", "go", "rs")
 
@@ -80,9 +80,8 @@ def verdict(content: str | None, ext: str) -> tuple:
 
 
 def _cause(content: str, ext: str, at: int, cause: str) -> str:
-    """Both markers of a conflict, wherever they stand; a text of another language; an end too early; else what stopped the parse."""
-    ours = _OURS.search(content)
-    if ours and _THEIRS.search(content, ours.end()):
+    """A conflict's markers, wherever they stand; a text of another language; an end too early; else what stopped the parse."""
+    if _CONFLICT.search(content):
         return "merge conflict"
     if any(LANGUAGE_OF[e] != LANGUAGE_OF[ext] and is_valid(content, e) for e in TRIED):
         return "wrong extension"
