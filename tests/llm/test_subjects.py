@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from strandline.llm import subjects as s
 
 DOCS = "doc_id bigint, text string, lang string, terms int, leaf int"
@@ -52,6 +54,24 @@ def test_empty(spark):
 
 
 def test_terms():
-    assert s.terms("mergeOrderTable solar_flares, HTTPServer 42 don't") == ["merge", "order", "table", "solar", "flare", "http", "server", "don"] or s.terms("solar_flares") == ["solar", "flare"]
-    assert s.terms("Think of it as a boiler. The jury waits.") == ["the", "jury", "wait"]
-    assert s.terms(None) == []
+    assert s.terms("mergeOrderTable solar_flares, HTTPServer 42. Don't") == (["merge", "order", "table", "solar", "flare", "httpserver", "don"], [0] * 6 + [1])
+    assert s.terms("The jury waits.\n\nIt waits") == (["the", "jury", "wait", "wait"], [0, 0, 0, 1])
+    assert s.terms("月食观测。望远镜") == (["月食", "食观", "观测", "望远", "远镜"], [0, 0, 0, 1, 1])
+    assert s.terms("a" * 60) == (["a" * 60], [0])
+    assert s.terms(None) == ([], [])
+
+
+def test_agreements():
+    law, music, none = [0.9, 0.0, 0.1], [0.0, 0.8, 0.2], [0.3, 0.3, 0.4]
+    p = np.array([law, none, law, law, music, music, none])
+    assert s.agreements(p, np.array([0, 0, 1, 1, 2, 2, 3])) == [(0, True), (1, False), (2, False)]
+    assert s.agreements(p[1:2], np.array([0])) == []
+
+
+def test_asides_are_learned(spark):
+    r = random.Random(2)
+    docs = [(i, text(r, k := ("music", "law", "energy")[i % 3], 4) + f"\nBy the way a neighbour of mine would call that a {r.choice(WORDS[j := ('law', 'energy', 'music')[i % 3]])} with a {r.choice(WORDS[j])} and a {r.choice(WORDS[j])} for fun.", "en", 0, 0) for i in range(300)]
+    labels = [(i, ("music", "law", "energy")[i % 3], "ann") for i in range(90)]
+    got = s.assign(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(labels, "doc_id bigint, subject string, labeller string"), spark.createDataFrame([("music",), ("law",), ("energy",)], "subject string"))
+    shares = {(x.doc_id, x.subject): x.share for x in got.collect()}
+    assert {k for k in shares} == {(i, ("music", "law", "energy")[i % 3]) for i in range(300)} and min(shares.values()) > 0.9
