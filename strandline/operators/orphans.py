@@ -1,9 +1,11 @@
 """References to records that do not exist at the time of the reference.
 
 Keys are hashed and cut into ranges of that hash. The parents of a range (life spans of records) come as one sorted
-array, with spans of a key merged where they touch; the references of the range come as vectorised batches and are
-probed by binary search on (key, time). A range with many references is dealt in blocks, each with its own copy of the
-range's parents, so a name that a third of all rows refer to is no task's burden. Misses only are aggregated.
+array, with spans of a key merged where they touch, first within days and then in all; the references of the range
+come as vectorised batches and are probed by binary search on (key, time). A range with many references is dealt in
+blocks, each with its own copy of the range's parents, so a name that a third of all rows refer to is no task's burden.
+There are as many tasks as blocks, each of bounded size whatever the size of the tables; a task holds the parents of one
+block and one batch of references at a time. Misses only are aggregated.
 
 Defined results: null and blank names are no references; a reference with a null repo_id has no record; a null recorded_at counts as before all time; a null
 first_seen_at as since ever; repeated rows count once; columns beyond those named are ignored; an empty parent table
@@ -12,15 +14,17 @@ makes every reference missing; empty references give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import blank_trim
+from ..session import blank_trim, cut
 
-PARENTS_PER_RANGE = 200_000
-REFERENCES_PER_BLOCK = 200_000
+PARENTS_PER_RANGE = 50_000
+REFERENCES_PER_BLOCK = 50_000
 #: Stand-ins for "since ever" and "never ended", in microseconds.
 EVER, NEVER = -(2**62), 2**62
 
@@ -37,10 +41,13 @@ def _parts(c: Column) -> Column:
     return F.filter(F.split(c, r"::|[./]"), lambda x: x != "")
 
 
-def _ranged(df: DataFrame, ranges: int) -> DataFrame:
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.withColumn("h", F.xxhash64("space", "repo_id", "key"))
+
+
+def _range(ranges: int) -> Column:
     """Hash ranges of equal width: xxhash64 is uniform, so these are its quantiles."""
-    h = F.xxhash64("space", "repo_id", "key")
-    return df.withColumn("h", h).withColumn("range", F.floor((F.shiftrightunsigned(h, 32).cast("double") / F.lit(2.0**32)) * F.lit(ranges)).cast("int"))
+    return F.floor((F.shiftrightunsigned("h", 32).cast("double") / F.lit(2.0**32)) * F.lit(ranges)).cast("int")
 
 
 def _module_path(path: Column) -> tuple[Column, Column]:
@@ -92,7 +99,8 @@ def import_references(imports: DataFrame, known_packages: DataFrame) -> DataFram
     known = known_packages.agg(F.collect_set(blank_trim(F.col("package_name"))).alias("k"))  # a fixed table
     src = F.col("src")
     # every beginning of the module that ends at a separator, and the module itself
-    heads = F.concat(F.array(src), F.transform(F.filter(F.sequence(F.lit(2), F.length(src) + 1), lambda i: src.substr(i, F.lit(1)).isin(".", "/") | (src.substr(i, F.lit(2)) == "::")), lambda i: F.substring(src, F.lit(1), i - 1)))
+    pieces = F.split(src, r"(?=[./]|::)")
+    heads = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, F.lit(1), i), ""))
     python = F.lower("file_path").endswith(".py")
     slashed = F.regexp_extract("src", r"^(?:\.{1,2}/)+", 0)
     bare = F.when(~python & src.isin(".", ".."), F.concat(src, F.lit("/"))).otherwise(slashed)
@@ -130,18 +138,18 @@ def _merged(p: pd.DataFrame) -> tuple[np.ndarray, ...]:
     fresh = (p["born"] > reach.groupby(group).shift()) | changed
     span = fresh.cumsum()
     first = p.groupby(span).agg(h=("h", "first"), born=("born", "first"), died=("died", "max"))
-    return first["h"].to_numpy(), name.groupby(span).first().to_numpy(object), first["born"].to_numpy(), first["died"].to_numpy(), p.groupby(group)["died"].min().repeat(first.groupby(group.groupby(span).first().to_numpy()).size()).to_numpy()
+    return first["h"].to_numpy(), name.groupby(span).first().to_numpy(object), first["born"].to_numpy(), first["died"].to_numpy(), p.groupby(group)["first_end"].min().repeat(first.groupby(group.groupby(span).first().to_numpy()).size()).to_numpy()
 
 
-def _probe(refs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-    """The references of a block for which no span is open, with the reason."""
+def _probe(refs: pd.DataFrame, parents: tuple[np.ndarray, ...] | None) -> pd.DataFrame:
+    """The references of a batch for which no span is open, with the reason."""
     out = refs[["table_name", "ref_id", "recorded_at"]].copy()
     out["reason"] = "missing"
-    if not len(refs) or not len(spans):
+    if not len(refs) or parents is None:
         return out
-    h, key, born, died, ended = _merged(spans)
+    h, key, born, died, ended = parents
     name = _names(refs)
-    rh, at = refs["h"].to_numpy(), refs["at"].to_numpy()
+    rh, at = refs["h"].to_numpy(), refs["since"].to_numpy()
     lo, hi = np.searchsorted(h, rh, "left"), np.searchsorted(h, rh, "right")
     same = lo < hi
     probe = np.minimum(lo, len(h) - 1)
@@ -163,17 +171,54 @@ def _probe(refs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
     return out[~alive]
 
 
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Misses of sorted rows: of each block first the parents, then its references, a batch at a time."""
+    block, own, parents = None, [], None
+    for b in batches:
+        place = b["block"].to_numpy()
+        ends = [*(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(b)]
+        for first, last in zip([0, *ends[:-1]], ends):
+            part = b.iloc[first:last]
+            if not len(part):
+                continue
+            if place[first] != block:
+                block, own, parents = place[first], [], None
+            is_parent = part["table_name"].isna().to_numpy()
+            if is_parent.any():
+                own.append(part[is_parent].rename(columns={"since": "born", "until": "died"}))
+            if not is_parent.all():
+                if own:
+                    parents, own = _merged(pd.concat(own)), []
+                yield _probe(part[~is_parent], parents)
+
+
+def _spans(spans: DataFrame) -> DataFrame:
+    """Life spans of each key, those that touch and begin on one day as one."""
+    day = F.floor(F.col("born") / F.lit(86_400 * 1_000_000))
+    fold = F.aggregate(
+        F.array_sort(F.collect_set(F.struct("born", "died"))),
+        F.array().cast("array<struct<born:bigint,died:bigint>>"),
+        lambda done, x: F.when((F.size(done) > 0) & (x["born"] <= F.element_at(done, -1)["died"]), F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), F.struct(F.element_at(done, -1)["born"].alias("born"), F.greatest(F.element_at(done, -1)["died"], x["died"]).alias("died")))).otherwise(F.array_append(done, x)),
+    )
+    # what decides between deleted and late is the earliest end of all spans, merged or not
+    per = spans.groupBy("space", "repo_id", "key", day.alias("day")).agg(fold.alias("s"), F.min("died").alias("first_end"))
+    return per.select("space", "repo_id", "key", "first_end", F.explode("s").alias("s")).select("space", "repo_id", "key", "s.born", "s.died", "first_end")
+
+
 def orphans(references: DataFrame, spans: DataFrame) -> DataFrame:
     """(table_name, ref_id, recorded_at, reason) of each reference without a living record, each once."""
-    spark = references.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spans.count() // PARENTS_PER_RANGE)
-    refs = _ranged(references.withColumn("repo_id", F.coalesce(F.col("repo_id").cast("string"), F.lit(""))), ranges)
-    spans = _ranged(spans.where("repo_id is not null and key is not null").withColumn("repo_id", F.col("repo_id").cast("string")), ranges).groupBy("range", "space", "repo_id", "key", "h", "born", "died").agg(F.lit(1).alias("one")).drop("one")
-    blocks = refs.groupBy("range").agg(F.ceil(F.count("*") / REFERENCES_PER_BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # one row a range
-    dealt = refs.join(blocks, "range").withColumn("block", F.pmod(F.xxhash64("table_name", "ref_id"), F.col("blocks")).cast("int")).drop("blocks")
-    copies = spans.join(blocks, "range").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    misses = dealt.groupBy("range", "block").cogroup(copies.groupBy("range", "block")).applyInPandas(_probe, "table_name string, ref_id bigint, recorded_at timestamp, reason string")
+    refs = cut(_hashed(references.withColumn("repo_id", F.coalesce(F.col("repo_id").cast("string"), F.lit("")))))
+    parents = cut(_hashed(_spans(spans.where("repo_id is not null and key is not null").withColumn("repo_id", F.col("repo_id").cast("string")))))
+    n_refs, n_parents = refs.count(), parents.count()
+    ranges = max(1, -(-n_parents // PARENTS_PER_RANGE), -(-n_refs // REFERENCES_PER_BLOCK))
+    sizes = refs.groupBy(_range(ranges).alias("range")).agg(F.ceil(F.count("*") / REFERENCES_PER_BLOCK).cast("int").alias("blocks")).orderBy("range").collect()  # a row a range
+    first = np.cumsum([0, *(r["blocks"] for r in sizes)])
+    table = references.sparkSession.createDataFrame([(r["range"], r["blocks"], int(a)) for r, a in zip(sizes, first)], "range int, blocks int, first int")
+    dealt = refs.withColumn("range", _range(ranges)).join(table, "range").select((F.col("first") + F.pmod(F.xxhash64("table_name", "ref_id"), F.col("blocks"))).cast("int").alias("block"), "h", "space", "repo_id", "key", F.col("at").alias("since"), F.lit(None).cast("bigint").alias("until"), F.lit(None).cast("bigint").alias("first_end"), "table_name", "ref_id", "recorded_at")
+    copies = parents.withColumn("range", _range(ranges)).join(table, "range").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("block"), "h", "space", "repo_id", "key", F.col("born").alias("since"), F.col("died").alias("until"), "first_end", *(F.lit(None).cast(t).alias(c) for c, t in (("table_name", "string"), ("ref_id", "bigint"), ("recorded_at", "timestamp"))))
+    tasks = max(1, int(first[-1]))
+    sorted_ = dealt.unionByName(copies.withColumn("recorded_at", F.col("recorded_at").cast(dict(dealt.dtypes)["recorded_at"]))).repartitionById(tasks, "block").sortWithinPartitions("block", F.col("table_name").isNotNull(), "h", "key", "since")
+    misses = sorted_.mapInPandas(_walk, f"table_name string, ref_id bigint, recorded_at {dict(dealt.dtypes)['recorded_at']}, reason string")
     return misses.dropDuplicates(["table_name", "ref_id", "recorded_at", "reason"])
 
 

@@ -56,3 +56,20 @@ def test_hot_range_in_blocks(spark, monkeypatch):
     calls = [call(i, "f", 1 + i % 5) for i in range(400)]
     got = find(spark, [(1, "f", "function", "a.py", D(3), None)], calls)
     assert got == {("calls", i): "late" for i in range(400) if i % 5 < 2}
+
+
+def test_many_blocks_and_ranges_against_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(o, "REFERENCES_PER_BLOCK", 40)
+    monkeypatch.setattr(o, "PARENTS_PER_RANGE", 15)
+    r = random.Random(1)
+    names = [f"n{i}" for i in range(40)]
+    symbols = [(r.choice([1, 2]), r.choice(names[:30]), "function", "a.py", D(a := r.randrange(1, 25)), r.choice([None, D(a + r.randrange(1, 6))])) for _ in range(150)]
+    calls = [call(i, "n0" if r.random() < 0.4 else r.choice(names), r.randrange(1, 30), repo=r.choice([1, 2])) for i in range(500)]
+    want = {}
+    for i, repo, _, name, _, at, *_ in calls:
+        own = [(s[4], s[5]) for s in symbols if s[0] == repo and s[1] == name]
+        if not any(b <= at and (e is None or at < e) for b, e in own):
+            want["calls", i] = "missing" if not own else "deleted" if any(e is not None and e <= at for _, e in own) else "late"
+    assert find(spark, symbols, calls) == want
