@@ -5,6 +5,9 @@ Every node keeps a pointer to an ancestor and the distance to it. In each round
 reached a root leave the rounds. A round that resolves nothing proves that all rows left hang on cycles; doubling
 then goes on over these rows alone until the set of pointed-at nodes stops shrinking: that set is the cycles' nodes.
 
+The side that is looked up has one row a node, so a parent of very many children makes one side of a join skewed only,
+which adaptive execution splits; once few rows are left in the rounds, they are broadcast and nothing else moves.
+
 Defined results: null ends are ignored; repeated links count once; a link from a node to itself is a cycle; of several
 parents of a node its self-link counts, else the smallest id; an empty table gives no rows; other columns are ignored.
 """
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import blank_trim, cut, drop_cut, skew_safe_lookup
+from ..session import blank_trim, cut, drop_cut
 
 KINDS = ("CONTAINS", "EXTENDS")
 
@@ -42,7 +45,7 @@ def resolve(links: DataFrame, with_path: bool = False) -> DataFrame:
     first = links.select("edge_type", "node_id", F.col("parent_id").alias("anc"), F.lit(1).alias("dist"), *path)
     first = cut(first)
     nodes = first.select("edge_type", F.col("node_id").alias("anc"), F.lit(True).alias("_inner"))
-    state = cut(skew_safe_lookup(first, nodes, ["edge_type", "anc"], "left").select(*names, F.coalesce("_inner", F.lit(False)).alias("open")))
+    state = cut(first.join(nodes, ["edge_type", "anc"], "left").select(*names, F.coalesce("_inner", F.lit(False)).alias("open")))
     drop_cut(first)
     done, active = [state.where("not open").select(*names)], state.where("open")
     left = active.count()
@@ -51,7 +54,7 @@ def resolve(links: DataFrame, with_path: bool = False) -> DataFrame:
         known = _all(done).withColumn("open", F.lit(False)).unionByName(active)
         step = known.select("edge_type", F.col("node_id").alias("anc"), F.col("anc").alias("_anc"), F.col("dist").alias("_dist"), F.col("open").alias("_open"), *([F.col("path").alias("_path")] if with_path else []))
         more = [F.concat("path", "_path").alias("path")] if with_path else []
-        moved = skew_safe_lookup(active.drop("open"), step, ["edge_type", "anc"]).select("edge_type", "node_id", F.col("_anc").alias("anc"), (F.col("dist") + F.col("_dist")).alias("dist"), *more, F.col("_open").alias("open"))
+        moved = active.drop("open").join(step, ["edge_type", "anc"]).select("edge_type", "node_id", F.col("_anc").alias("anc"), (F.col("dist") + F.col("_dist")).alias("dist"), *more, F.col("_open").alias("open"))
         moved = cut(moved)
         held.append(moved)
         done.append(moved.where("not open").select(*names))
@@ -78,7 +81,8 @@ def _cyclic(rows: DataFrame, with_path: bool) -> DataFrame:
     targets = rows.select("edge_type", "anc").distinct().count()
     while True:
         step = rows.select("edge_type", F.col("node_id").alias("anc"), F.col("anc").alias("_anc"))
-        rows = cut(skew_safe_lookup(rows, step, ["edge_type", "anc"]).select("edge_type", "node_id", F.col("_anc").alias("anc")))
+        rows, before = cut(rows.join(step, ["edge_type", "anc"]).select("edge_type", "node_id", F.col("_anc").alias("anc"))), rows
+        drop_cut(before)
         now = rows.select("edge_type", "anc").distinct().count()
         if now == targets:
             break
