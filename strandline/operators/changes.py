@@ -11,6 +11,7 @@ from .impact import reports
 def parse_diff(texts: DataFrame) -> DataFrame:
     """(diff_id, file_path, line) of unified diffs in (diff_id, text); a deletion marks the line it follows."""
     lines = texts.select("diff_id", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
+    # fixed values: the lines of the unified diff format
     header = F.when(F.col("line").rlike(r"^diff --git a/.*? b/.*"), F.regexp_extract("line", r"^diff --git a/.*? b/(.*)$", 1))
     in_order = Window.partitionBy("diff_id").orderBy("pos")
     at = lines.withColumn("file_path", F.last(header, ignorenulls=True).over(in_order))

@@ -22,6 +22,7 @@ def category(path: Column, name: Column, kind: Column, is_entrypoint: Column) ->
     )
 
 
+#: The weights and bounds of the score.
 def score(up: Column, down: Column, entrypoints: Column, files: Column, tests: Column) -> Column:
     """Weighted size of an impact, eased by tests, between 0 and 100, rounded half to even on one decimal."""
     raw = 4.0 * up + 1.5 * down + 20.0 * entrypoints + 5.0 * files

@@ -19,7 +19,7 @@ def dead_code(nodes: DataFrame, edges: DataFrame, include_exported: bool = False
     if not include_exported:
         spared = spared | (F.col("is_exported") & (path.endswith("__init__.py") | path.endswith("index.ts")))
     candidates = nodes.where(~F.col("kind").isin("module", "variable") & ~F.coalesce(spared, F.lit(False)))
-    used = edges.where(F.col("edge_type").isin(*IMPACT)).select(F.col("dst").alias("id"))
+    used = edges.where(F.col("edge_type").isin(*IMPACT)).select(F.col("dst").alias("id")).distinct()  # a hub would else sit in one task
     return candidates.join(used, "id", "left_anti").select("id", "name", "qualified_name", "kind", "file_path", "line_start", "line_end", "complexity")
 
 
@@ -35,6 +35,12 @@ def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.withColumn("total_edges", edges.agg(F.count("*").alias("n")).scalar())
 
 
+def metrics(nodes: DataFrame, edges: DataFrame, cycles: DataFrame, dead: DataFrame) -> DataFrame:
+    """totals() with the number of cycles and of unreferenced symbols."""
+    count = lambda df: df.agg(F.count("*").alias("n")).scalar()
+    return totals(nodes, edges).withColumns({"cycles_count": count(cycles), "dead_symbols_count": count(dead)})
+
+
 def languages(nodes: DataFrame) -> DataFrame:
     """Vertices by extension of their file."""
     return nodes.groupBy(F.regexp_extract("file_path", r"(?<=[^/])(\.[^./]*)$", 1).alias("extension")).agg(F.count("*").alias("n"))
@@ -90,5 +96,14 @@ def too_complex(nodes: DataFrame, max_complexity: int = 20) -> DataFrame:
     return nodes.where(F.col("kind").isin("function", "method") & (F.col("complexity") > max_complexity)).select("id", "file_path", "line_start", "complexity")
 
 
+def violations(nodes: DataFrame, edges: DataFrame, forbidden_rules: list[dict], stability: list[dict], max_complexity: int = 20) -> DataFrame:
+    """(rule_type, source_location, target_location, message, severity): what breaks any of the rules."""
+    none = F.lit(None).cast("string")
+    a = forbidden(nodes, edges, forbidden_rules).select("rule_type", "source_location", "target_location", "message", "severity")
+    b = unstable(coupling(nodes, edges), stability).select(F.lit("instability").alias("rule_type"), F.col("module_name").alias("source_location"), none.alias("target_location"), F.format_string("Module %s has instability %.2f over %.2f", "module_name", "instability", "max_i").alias("message"), F.lit("error").alias("severity"))
+    c = too_complex(nodes, max_complexity).select(F.lit("complexity").alias("rule_type"), F.concat("file_path", F.lit(":"), F.coalesce("line_start", F.lit(1)).cast("string")).alias("source_location"), none.alias("target_location"), F.format_string("%s has complexity %d over %d", "id", "complexity", F.lit(max_complexity)).alias("message"), F.lit("warning").alias("severity"))
+    return a.unionByName(b).unionByName(c)
+
+
 def lint_counts(violations: DataFrame) -> DataFrame:
     return violations.agg(F.count("*").alias("total"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: 100, 80, 60 and 40 for a name, and what holds the text in its qualified name, name or path.
 def find_symbols(nodes: DataFrame, query: str, kind: str | None = None, limit: int = 50) -> DataFrame:
     """Best matches by name, qualified name and path; ties by name, then position."""
     q = query.lower().strip()

@@ -92,7 +92,7 @@ SQL = {
 e as (select *, lower(regexp_extract(file_path, '\.([^./]+)$', 1)) as ext, string_split(file_path, '/') as p from f)
 select file_id, file_path, case when ext = 'py' then 'python' when ext in ('js', 'jsx', 'mjs', 'cjs') then 'javascript' when ext in ('ts', 'tsx') then 'typescript' when ext = 'java' then 'java' when ext = 'go' then 'go' when ext = 'rs' then 'rust' end as language from e
 where ext in ('py', 'js', 'jsx', 'mjs', 'cjs', 'ts', 'tsx', 'java', 'go', 'rs') and p[-1] not in ('.DS_Store', 'Thumbs.db')
-  and len(list_filter(p[1:len(p) - 1], lambda x: starts_with(x, '.') or x in ('.git', '.venv', 'venv', 'node_modules', 'target', 'build', 'dist', '__pycache__', '.idea', '.vscode'))) = 0""",
+  and len(list_filter(p[1:len(p) - 1], lambda x: starts_with(x, '.') or x in ('venv', 'env', 'node_modules', 'target', 'build', 'dist', '__pycache__', 'out', 'bin'))) = 0""",
     "cache_diff": """with f as (select distinct repo_id, file_id, file_path, content_hash, scanned_at from parsed_files)
 select file_id, exists (select 1 from f g where g.repo_id = f.repo_id and g.file_path = f.file_path and g.content_hash = f.content_hash and g.scanned_at < timestamp '2025-01-01') as cached from f""",
     "snapshot_differences": """with f as (select file_path, min(scanned_at) as a, max(scanned_at) as b from parsed_files group by file_path)

@@ -30,7 +30,10 @@ class ScanConfig:
 
 
 def load(root: str, name: str = "strandline") -> ScanConfig:
-    """<name>.toml at the root, else [tool.<name>] of pyproject.toml, else the defaults; unreadable files give the defaults."""
+    """<name>.toml at the root, else [tool.<name>] of pyproject.toml, else the defaults; unreadable files give the defaults.
+
+    Folders and files to ignore come on top of the defaults.
+    """
     own, project = Path(root) / f"{name}.toml", Path(root) / "pyproject.toml"
     try:
         if own.exists():
@@ -48,7 +51,7 @@ def load(root: str, name: str = "strandline") -> ScanConfig:
     unstable = [{"module": r.get("module", ""), "max_i": float(r.get("max_i", 0.5))} for r in rules.get("max_instability", [])]
     risk = rules.get("max_risk_gate")
     return ScanConfig(
-        tuple(data.get("ignored_dirs", IGNORED_DIRS)), tuple(data.get("ignored_files", IGNORED_FILES)), int(data.get("max_file_size_bytes", MAX_BYTES)), bool(data.get("enable_cache", True)),
+        tuple(dict.fromkeys([*IGNORED_DIRS, *data.get("ignored_dirs", [])])), tuple(dict.fromkeys([*IGNORED_FILES, *data.get("ignored_files", [])])), int(data.get("max_file_size_bytes", MAX_BYTES)), bool(data.get("enable_cache", True)),
         Rules(forbidden, unstable, int(rules.get("max_complexity", rules.get("max_cyclomatic_complexity", 20))), None if risk is None else float(risk)),
     )
 

@@ -10,7 +10,7 @@ from ..functions.lexing import LANGUAGE_OF
 from ..operators.extract import extract
 
 #: What is not looked at unless the configuration says so.
-IGNORED_DIRS = (".git", ".venv", "venv", "node_modules", "target", "build", "dist", "__pycache__", ".idea", ".vscode")
+IGNORED_DIRS = (".git", ".venv", "venv", "env", "node_modules", "target", "build", "dist", "__pycache__", ".pytest_cache", ".ruff_cache", ".mypy_cache", ".idea", ".vscode", ".gradle", "out", "bin")
 IGNORED_FILES = (".DS_Store", "Thumbs.db")
 MAX_BYTES = 2 * 1024 * 1024
 

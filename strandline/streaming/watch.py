@@ -42,6 +42,11 @@ def watch(spark: SparkSession, root: str, on_change: Callable[[DataFrame, DataFr
     return spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.foreachBatch(poll).trigger(processingTime=interval).start()
 
 
+def watch_graph(spark: SparkSession, root: str, load: Callable[[], tuple[DataFrame, DataFrame]], on_graph: Callable[[DataFrame, DataFrame, DataFrame], None], interval: str = "1 second") -> StreamingQuery:
+    """Calls on_graph(differences, nodes, edges) with the graph that load() builds anew whenever the tree has changed."""
+    return watch(spark, root, lambda changed, _: on_graph(changed, *load()), interval)
+
+
 def _timed(events: DataFrame, late: str) -> DataFrame:
     """A stream with its watermark, which wants times with a zone; other tables as they are."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
