@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .impact import reports
+from ..session import cut
+from .impact import impact_nodes, scores
 
 
 def parse_diff(texts: DataFrame) -> DataFrame:
@@ -34,20 +35,25 @@ def touched(changed: DataFrame, nodes: DataFrame, bucket: int = 64) -> DataFrame
 
 
 def impact(changed: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """One row a diff: the highest score, raised by 10 % a symbol if several are touched, and what is reached in all."""
-    hit = touched(changed, nodes)
-    each = reports(nodes, edges, hit.select(F.col("id").alias("root")).distinct(), max_depth)
-    rows = hit.join(each, F.col("id") == F.col("root"))
-    none = F.array().cast("array<string>")
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    files = changed.groupBy("diff_id").agg(F.array_sort(F.collect_set("file_path")).alias("changed_files"))
-    agg = rows.groupBy("diff_id").agg(
-        F.count("*").alias("symbols"), F.max("score").alias("highest"), flat("affected_files").alias("f"), flat("affected_entrypoints").alias("affected_entrypoints"), flat("affected_tests").alias("affected_tests"),
-        F.size(F.array_distinct(F.concat(F.collect_list("id"), F.flatten(F.collect_list("upstream_callers")), F.flatten(F.collect_list("downstream_callees"))))).alias("total_impacted"),
-    )
-    out = files.join(agg, "diff_id", "left").fillna(0, ["symbols", "highest", "total_impacted"])
+    """One row a diff: the highest score, raised by 10 % a symbol if several are touched, and what is reached in all.
+
+    What several symbols of a diff reach is reduced to distinct rows before it is counted or listed.
+    """
+    hit = cut(touched(changed, nodes))
+    roots = hit.select(F.col("id").alias("root")).distinct()
+    reached = cut(impact_nodes(nodes, edges, roots, max_depth))
+    each = hit.join(scores(reached, nodes, roots), F.col("id") == F.col("root")).groupBy("diff_id").agg(F.count("*").alias("symbols"), F.max("score").alias("highest"))
+    met = hit.join(reached, F.col("id") == F.col("root")).select("diff_id", "node_id", "name", "file_path", "category", "direction")
+    total = met.select("diff_id", "node_id").union(hit.select("diff_id", "id")).distinct().groupBy("diff_id").agg(F.count("*").alias("total_impacted"))
+    held = hit.join(nodes.select("id", "file_path"), "id").select("diff_id", "file_path")
+    listed = lambda rows, column, name: rows.where(F.col(column).isNotNull()).select("diff_id", column).distinct().groupBy("diff_id").agg(F.array_sort(F.collect_list(column)).alias(name))
+    files = listed(met.select("diff_id", "file_path").union(held).union(changed.select("diff_id", "file_path")), "file_path", "affected_files")
+    label = met.where("direction = 'up'").withColumn("label", F.concat("name", F.lit(" ("), "file_path", F.lit(")")))
+    points, tests = (listed(label.where(F.col("category") == c), "label", f"affected_{name}") for c, name in (("CRITICAL", "entrypoints"), ("TEST", "tests")))
+    out = files.join(each, "diff_id", "left").join(total, "diff_id", "left").join(points, "diff_id", "left").join(tests, "diff_id", "left").fillna(0, ["symbols", "highest", "total_impacted"])
     raised = F.when(F.col("symbols") > 1, F.least(F.lit(100.0), F.bround(F.col("highest") * (1 + 0.1 * F.col("symbols")), 1))).otherwise(F.col("highest"))
-    return out.select("diff_id", "symbols", raised.alias("score"), F.array_sort(F.array_union(F.coalesce("f", none), "changed_files")).alias("affected_files"), F.coalesce("affected_entrypoints", none).alias("affected_entrypoints"), F.coalesce("affected_tests", none).alias("affected_tests"), "total_impacted")
+    none = F.array().cast("array<string>")
+    return out.select("diff_id", "symbols", raised.alias("score"), "affected_files", F.coalesce("affected_entrypoints", none).alias("affected_entrypoints"), F.coalesce("affected_tests", none).alias("affected_tests"), "total_impacted")
 
 
 def gate(scored: DataFrame, max_risk: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import EFFECT, IMPACT
-from .traverse import reach
+from .traverse import depths, reach
 
 #: Parts of a path that tell a category.
 ENTRY_PARTS, CORE_PARTS = "controller|route|api|cli|handler", "service|model|domain|repository"
@@ -30,17 +30,39 @@ def score(up: Column, down: Column, entrypoints: Column, files: Column, tests: C
     return F.greatest(F.when((up > 0) | (down > 0), 1.0).otherwise(0.0), F.least(F.lit(100.0), F.bround(eased, 1)))
 
 
+SEARCHES = {"up": (IMPACT, True), "down": (EFFECT, False)}
+
+
+def _known(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    known = nodes.select(F.col("id").alias("node"), "name", "kind", "file_path", category(F.col("file_path"), F.col("name"), F.col("kind"), F.col("is_entrypoint")).alias("category"))
+    return rows.join(known, "node").withColumnRenamed("node", "node_id")
+
+
 def impact_nodes(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(root, direction, node_id, name, kind, file_path, depth, category, path_from_target, way); path runs from the node to the root."""
-    both = [reach(edges, roots, max_depth, types, upstream).withColumn("direction", F.lit(name)) for name, types, upstream in (("up", IMPACT, True), ("down", EFFECT, False))]
-    known = nodes.select(F.col("id").alias("node"), "name", "kind", "file_path", "is_entrypoint")
-    rows = both[0].unionByName(both[1]).join(known, "node")
-    return rows.select("root", "direction", F.col("node").alias("node_id"), "name", "kind", "file_path", "depth", category(F.col("file_path"), F.col("name"), F.col("kind"), F.col("is_entrypoint")).alias("category"), F.reverse("path").alias("path_from_target"), "way")
+    """(root, direction, node_id, name, kind, file_path, depth, category) of all that each root reaches or is reached by."""
+    return _known(depths(edges, roots, max_depth, SEARCHES), nodes)
+
+
+def impact_paths(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
+    """impact_nodes() with path_from_target, from the node to the root, and way, the order in which a queue finds them."""
+    both = [reach(edges, roots, max_depth, types, upstream).withColumn("direction", F.lit(name)) for name, (types, upstream) in SEARCHES.items()]
+    return _known(both[0].unionByName(both[1]), nodes).withColumn("path_from_target", F.reverse("path")).drop("path")
+
+
+def scores(reached: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row a root: up, down, files, entrypoints, tests, score and total_impacted, from impact_nodes(). Nothing is listed."""
+    own = roots.select("root").distinct().join(nodes.select(F.col("id").alias("root"), F.col("name").alias("target_name"), F.col("file_path").alias("target_file")), "root")
+    up, label = F.col("direction") == "up", F.concat("name", F.lit(" ("), "file_path", F.lit(")"))
+    files = reached.select("root", "file_path").unionByName(own.select("root", F.col("target_file").alias("file_path"))).where("file_path is not null").distinct().groupBy("root").agg(F.count("*").alias("files"))
+    sizes = reached.groupBy("root").agg(F.count_if(up).alias("up"), F.count_if(~up).alias("down"))
+    named = reached.where(up & F.col("category").isin("CRITICAL", "TEST")).select("root", "category", label.alias("label")).distinct().groupBy("root").agg(F.count_if(F.col("category") == "CRITICAL").alias("entrypoints"), F.count_if(F.col("category") == "TEST").alias("tests"))
+    rows = own.join(sizes, "root", "left").join(files, "root", "left").join(named, "root", "left").fillna(0, ["up", "down", "files", "entrypoints", "tests"])
+    return rows.withColumn("score", score(F.col("up"), F.col("down"), F.col("entrypoints"), F.col("files"), F.col("tests"))).withColumn("total_impacted", F.col("up") + F.col("down"))
 
 
 def reports(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
     """One row a root: counts, score, affected files, entry points and tests, and the reached nodes in order."""
-    reached = impact_nodes(nodes, edges, roots, max_depth)
+    reached = impact_paths(nodes, edges, roots, max_depth)
     up, down = F.col("direction") == "up", F.col("direction") == "down"
     label = F.concat("name", F.lit(" ("), "file_path", F.lit(")"))
     listed = F.struct("depth", "name", "way", "node_id", "category")

@@ -20,6 +20,41 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: A node with so large a share of the steps of a search, and so many, has them dealt to SALTS keys.
+HOT_SHARE, HOT_LEAST, SALTS = 0.01, 10_000, 32
+
+
+def depths(edges: DataFrame, roots: DataFrame, max_depth: int, searches: dict[str, tuple[tuple[str, ...] | None, bool]]) -> DataFrame:
+    """(direction, root, node, depth) of every node within max_depth of each root, the root excluded.
+
+    searches: by direction, the edge types to follow (None for all) and whether from callee to caller; all directions move
+    one level in the same join. Only pairs are carried. The steps of a hub are dealt to several keys, so that no task
+    holds all of them.
+    """
+    parts = []
+    for name, (types, upstream) in searches.items():
+        near, far = ("dst", "src") if upstream else ("src", "dst")
+        used = edges if types is None else edges.where(F.col("edge_type").isin(*types))
+        parts.append(used.select(F.lit(name).alias("direction"), F.col(near).alias("node"), F.col(far).alias("far")))
+    steps = cut(_union(parts).distinct())
+    total = steps.count()
+    hubs = steps.groupBy("direction", "node").count().where(F.col("count") >= F.lit(max(HOT_LEAST, HOT_SHARE * total))).select("direction", "node")  # at most 1 / HOT_SHARE rows
+    hubs = F.broadcast(cut(hubs).withColumn("hub", F.lit(True)))
+    dealt = steps.join(hubs, ["direction", "node"], "left").select("direction", "node", "far", F.when(F.col("hub"), F.pmod(F.xxhash64("far"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    start = roots.select("root").distinct().select(F.explode(F.array(*map(F.lit, searches))).alias("direction"), "root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    levels = [cut(start)]
+    for depth in range(1, max_depth + 1):
+        salts = F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+        frontier = levels[-1].join(hubs, ["direction", "node"], "left").select("direction", "root", "node", salts.alias("salt"))
+        tried = frontier.join(dealt, ["direction", "node", "salt"]).select("direction", "root", F.col("far").alias("node")).distinct()
+        seen = _union([x.select("direction", "root", "node") for x in levels])
+        level = cut(tried.join(seen, ["direction", "root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return _union(levels).where("depth > 0")
+
+
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int, types: tuple[str, ...] | None, upstream: bool, stop: DataFrame | None = None) -> DataFrame:
     """(root, node, depth, path, way) of every node within max_depth of each root, the root excluded.
 
@@ -95,7 +130,7 @@ def ego(edges: DataFrame, roots: DataFrame, upstream_depth: int = 2, downstream_
 
     The search downwards does not enter nodes that the one upwards has found.
     """
-    up = cut(reach(edges, roots, upstream_depth, None, upstream=True).select("root", "node"))
+    up = depths(edges, roots, upstream_depth, {"up": (None, True)}).select("root", "node")
     included = up.unionByName(roots.select("root", F.col("root").alias("node")).distinct())
     frontier, held = roots.select("root", F.col("root").alias("node")).distinct(), included
     for _ in range(downstream_depth):

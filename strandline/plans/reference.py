@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import changes, cycles, graph, impact, link, quality, search, traverse
 from ..session import cut, table
 
-#: The flagship looks at so many of the most referenced symbols.
-ROOTS = 10
+#: Searches start from every symbol whose number is divisible by this.
+EVERY = 20
 RULES = [{"from": "src/*/handlers/*", "to": "src/*/models/*", "severity": "error"}, {"from": "src/shared/*", "to": "src/billing/**", "message": "shared code must not know billing", "severity": "warning"}]
 STABILITY = [{"module": "src/shared/*", "max_i": 0.5}, {"module": "internal/*", "max_i": 0.6}]
 
@@ -23,49 +23,52 @@ def _kept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return cut(nodes), cut(edges)
 
 
-def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The symbols outside the runtime that most other symbols use: a top-k report's subjects."""
-    own = nodes.where("node_seq >= 0 and kind <> 'module'").select("id")
-    n = edges.where(F.col("edge_type").isin(*graph.IMPACT)).groupBy(F.col("dst").alias("id")).count().join(own, "id", "left_semi")
-    return cut(n.orderBy(F.desc("count"), "id").limit(ROOTS).select(F.col("id").alias("root")))
+def _roots(nodes: DataFrame) -> DataFrame:
+    return nodes.where((F.col("node_seq") >= 0) & (F.col("kind") != "module") & (F.col("node_seq") % EVERY == 0)).select(F.col("id").alias("root"))
 
 
-def _reach(spark, d, types, upstream, depth):
+def _depths(spark, d, direction):
     nodes, edges = _kept(spark, d)
-    return traverse.reach(edges, _roots(nodes, edges), depth, types, upstream)
+    return traverse.depths(edges, _roots(nodes), 10, {direction: impact.SEARCHES[direction]}).select("root", F.col("node").alias("node_id"), "depth")
 
 
 def blast_upstream(spark, d):
-    return _reach(spark, d, graph.IMPACT, True, 3).select("root", F.col("node").alias("node_id"), "depth")
+    return _depths(spark, d, "up")
 
 
 def blast_downstream(spark, d):
-    return _reach(spark, d, graph.EFFECT, False, 3).select("root", F.col("node").alias("node_id"), "depth")
+    return _depths(spark, d, "down")
 
 
 def blast_category(spark, d):
     nodes, edges = _kept(spark, d)
-    return impact.impact_nodes(nodes, edges, _roots(nodes, edges), 2).select("root", "direction", "node_id", "depth", "category")
+    return impact.impact_nodes(nodes, edges, _roots(nodes)).select("root", "direction", "node_id", "depth", "category")
 
 
 def blast_score(spark, d):
     nodes, edges = _kept(spark, d)
-    rows = impact.reports(nodes, edges, _roots(nodes, edges), 2)
-    return rows.select("root", "up", "down", F.size("affected_entrypoints").alias("entrypoints"), F.size("affected_files").alias("files"), F.size("affected_tests").alias("tests"), "score", "total_impacted")
+    roots = cut(_roots(nodes))
+    return impact.scores(cut(impact.impact_nodes(nodes, edges, roots)), nodes, roots).select("root", "up", "down", "entrypoints", "files", "tests", "score", "total_impacted")
 
 
 def blast_report(spark, d):
     nodes, edges = _kept(spark, d)
-    rows = impact.reports(nodes, edges, _roots(nodes, edges), 10)
-    return rows.select("root", "target_name", "target_file", "score", "up", "down", "affected_files", "affected_entrypoints", "affected_tests", "total_impacted")
+    rows = impact.reports(nodes, edges, _roots(nodes))
+    text = lambda c: F.array_join(c, " ; ").alias(c)
+    return rows.select("root", "target_name", "target_file", "score", "up", "down", *map(text, ("affected_files", "affected_entrypoints", "affected_tests", "upstream_callers", "downstream_callees")), "total_impacted")
+
+
+def blast_paths(spark, d):
+    """Of each reached node the way that a search in the order of the edges finds first."""
+    nodes, edges = _kept(spark, d)
+    return impact.impact_paths(nodes, edges, _roots(nodes)).select("root", "direction", "node_id", "depth", F.array_join("path_from_target", " > ").alias("path"))
 
 
 def _pairs(nodes, edges):
-    """Each of the symbols that call most, with one of the most used ones, rank by rank."""
-    targets = _roots(nodes, edges).agg(F.sort_array(F.collect_list("root")).alias("t"))  # ROOTS rows
-    busy = edges.where("edge_type = 'CALLS'").groupBy("src").count().orderBy(F.desc("count"), "src").limit(ROOTS).agg(F.sort_array(F.collect_list("src")).alias("s"))
-    both = targets.withColumn("s", busy.scalar())
-    return cut(both.select(F.explode(F.arrays_zip("s", "t")).alias("p")).select(F.col("p.s").alias("source"), F.col("p.t").alias("target")).where("source is not null and target is not null"))
+    """Each root and the farthest symbol that it uses, directly or not, of several the last by id; those that use none, with themselves."""
+    roots = cut(_roots(nodes))
+    far = traverse.depths(edges, roots, 10, {"down": (graph.IMPACT, False)}).groupBy("root").agg(F.max_by("node", F.struct("depth", "node")).alias("node"))
+    return cut(roots.join(far, "root", "left").select(F.col("root").alias("source"), F.coalesce("node", "root").alias("target")))
 
 
 def shortest_path_hops(spark, d):
@@ -85,7 +88,7 @@ def simple_paths(spark, d):
 
 def ego_subgraph(spark, d):
     nodes, edges = _kept(spark, d)
-    return traverse.ego(edges, _roots(nodes, edges), 1, 1)
+    return traverse.ego(edges, cut(_roots(nodes)))
 
 
 def symbol_search(spark, d):
@@ -139,8 +142,17 @@ def lint_complexity(spark, d):
     return quality.too_complex(_graph(spark, d)[0], 20)
 
 
+def lint_violations(spark, d):
+    return quality.violations(*_kept(spark, d), RULES, STABILITY)
+
+
 def lint_counts(spark, d):
-    return quality.lint_counts(lint_forbidden(spark, d))
+    return quality.lint_counts(lint_violations(spark, d))
+
+
+def repo_metrics(spark, d):
+    nodes, edges = _kept(spark, d)
+    return quality.metrics(nodes, edges, module_cycles(spark, d), quality.dead_code(nodes, edges))
 
 
 def file_graph(spark, d):
@@ -188,12 +200,11 @@ def linked_graph(spark, d):
 
 
 def _diffs(spark, d):
-    """A diff a repository, made of the lines on which its calls stand."""
+    """A diff a file of a repository, made of the lines on which its calls stand."""
     lines = table(spark, d, "calls").where("line_number > 0 and file_path is not null").select("repo_id", "file_path", "line_number").distinct()
     hunk = F.concat(F.lit("@@ -"), F.col("line_number").cast("string"), F.lit(" +"), F.col("line_number").cast("string"), F.lit(",2 @@\n+x"))
     files = lines.groupBy("repo_id", "file_path").agg(F.array_join(F.sort_array(F.collect_list(hunk)), "\n").alias("h"))
-    block = F.concat(F.lit("diff --git a/"), "file_path", F.lit(" b/"), "file_path", F.lit("\n"), "h")
-    return files.groupBy(F.col("repo_id").alias("diff_id")).agg(F.array_join(F.sort_array(F.collect_list(block)), "\n").alias("text"))
+    return files.select(F.concat(F.coalesce(F.col("repo_id").cast("string"), F.lit("")), F.lit(":"), "file_path").alias("diff_id"), F.concat(F.lit("diff --git a/"), "file_path", F.lit(" b/"), "file_path", F.lit("\n"), "h").alias("text"))
 
 
 def diff_hunks(spark, d):
@@ -210,7 +221,7 @@ def diff_aggregate(spark, d):
 
 
 NAMES = (
-    "blast_report blast_upstream blast_downstream blast_category blast_score shortest_path_hops path_result simple_paths ego_subgraph symbol_search resolve_target filter_list source_preview dead_code repo_totals language_histogram coupling bottlenecks "
-    "lint_forbidden lint_instability lint_complexity lint_counts file_graph file_components module_cycles symbol_cycles edge_upsert contains_edges import_resolution import_links call_links inheritance_link linked_graph diff_hunks diff_interval_join diff_aggregate"
+    "blast_report blast_paths blast_upstream blast_downstream blast_category blast_score shortest_path_hops path_result simple_paths ego_subgraph symbol_search resolve_target filter_list source_preview dead_code repo_totals language_histogram coupling bottlenecks "
+    "lint_forbidden lint_instability lint_complexity lint_violations lint_counts repo_metrics file_graph file_components module_cycles symbol_cycles edge_upsert contains_edges import_resolution import_links call_links inheritance_link linked_graph diff_hunks diff_interval_join diff_aggregate"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -54,7 +54,7 @@ def test_impact(spark):
     assert (c.up, c.down, len(c.affected_files), c.affected_entrypoints, c.affected_tests) == (3, 1, 4, ["a (src/api/x.py)"], ["test_d (tests/t.py)"])
     assert c.score == round((12 + 1.5 + 20 + 20) * 0.92, 1) == 49.2
     assert got[ids["lone"]].score == 6.2 and got[ids["lone"]].total_impacted == 0
-    paths = {r.node_id: r.path_from_target for r in impact.impact_nodes(nodes, edges, roots).where("direction = 'up'").collect()}
+    paths = {r.node_id: r.path_from_target for r in impact.impact_paths(nodes, edges, roots).where("direction = 'up'").collect()}
     assert paths[ids["a"]] == [ids["a"], ids["b"], ids["c"]]
 
 
@@ -200,3 +200,33 @@ def test_call_rules(spark):
     wanted = {"b": "b.py", "pkg": "pkg/__init__.py", "deep.x_util": "src/deep/x_util.py", "../q/x_util": "src/deep/x_util.py", "util": "src/deep/x_util.py", "web.i": "web/i/index.ts", ".b": "b.py", "zzz": None}
     i = spark.createDataFrame([(k, 1, w, "n", None, 1, False, "a.py") for k, w in enumerate(wanted)], names[2])
     assert {list(wanted)[r.import_id]: r.target_file for r in link.resolve_imports(i, files).collect()} == {k: v for k, v in wanted.items() if v}
+
+
+def test_depths_against_brute_force_with_hubs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(traverse, "HOT_LEAST", 5)
+    r = random.Random(3)
+    pairs = {(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(90)} | {(f"n{i}", "n0") for i in range(20)}
+    edges = spark.createDataFrame([(a, b, i, "CALLS", 1, "f") for i, (a, b) in enumerate(sorted(pairs))], "src string, dst string, edge_pos bigint, edge_type string, line_number int, file_path string")
+    roots = [f"n{i}" for i in range(0, 40, 7)]
+    want = {}
+    for name, up in (("up", True), ("down", False)):
+        for root in roots:
+            seen, level = {root}, [root]
+            for depth in range(1, 4):
+                level = sorted({(a if up else b) for a, b in pairs for x in level if (b if up else a) == x} - seen)
+                seen |= set(level)
+                want |= {(name, root, x): depth for x in level}
+    got = {(x.direction, x.root, x.node): x.depth for x in traverse.depths(edges, spark.createDataFrame([(x,) for x in roots], "root string"), 3, {"up": (("CALLS",), True), "down": (None, False)}).collect()}
+    assert got == want
+
+
+def test_scores_are_those_of_the_reports(spark):
+    nodes = graph.vertices(spark.createDataFrame([(f"f{i % 3}.py::n{i}", i, f"n{i}", f"n{i}", "function", f"f{i % 3}.py" if i % 4 else "tests/f.py", 1, 2, None, True, i % 5 == 0, 1) for i in range(12)], "id string, symbol_seq bigint, name string, qualified_name string, kind string, file_path string, line_start int, line_end int, docstring string, is_exported boolean, is_entrypoint boolean, complexity int"))
+    ids = [f"f{i % 3}.py::n{i}" for i in range(12)]
+    edges = spark.createDataFrame([(ids[i], ids[(i * 5 + 1) % 12], i, "CALLS", 1, "f") for i in range(12)], "src string, dst string, edge_pos bigint, edge_type string, line_number int, file_path string")
+    roots = spark.createDataFrame([(x,) for x in ids[:6]], "root string")
+    a = {r.root: (r.up, r.down, r.score, r.files, r.entrypoints, r.tests) for r in impact.scores(impact.impact_nodes(nodes, edges, roots), nodes, roots).collect()}
+    b = {r.root: (r.up, r.down, r.score, len(r.affected_files), len(r.affected_entrypoints), len(r.affected_tests)) for r in impact.reports(nodes, edges, roots).collect()}
+    assert a == b and len(a) == 6
