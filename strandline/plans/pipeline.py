@@ -32,12 +32,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_callers(spark: SparkSession, d: str) -> DataFrame:
     """Rows and distinct callers of every symbol."""
-    return heavy_keys.per_key(table(spark, d, "edges"), "target_id", "source_id").select("key_id", "n", F.col("n_distinct").alias("callers"))
+    return heavy_keys.per_key(table(spark, d, "edges"), "target_id", "source_id", row_id="edge_seq").select("key_id", "n", F.col("n_distinct").alias("callers"))
 
 
 def p2_reports(spark: SparkSession, d: str) -> DataFrame:
     """Rows and distinct reports of every symbol."""
-    return heavy_keys.per_key(table(spark, d, "blast_nodes"), "node_id", "report_id").select("key_id", "n", F.col("n_distinct").alias("reports"))
+    return heavy_keys.per_key(table(spark, d, "blast_nodes"), "node_id", "report_id", row_id="row_id").select("key_id", "n", F.col("n_distinct").alias("reports"))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:

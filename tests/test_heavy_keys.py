@@ -29,3 +29,13 @@ def test_heavy_counts_rows_with_null_keys(spark):
 def test_ties_and_repeats(spark):
     df = spark.createDataFrame([("a", 1, "x", 1)] * 500, SCHEMA).repartition(5)
     assert [tuple(x) for x in k.per_key(df, "key_id", "seq", 4).collect()] == [("a", 500, 1)]
+
+
+def test_one_pair_in_many_partitions(spark):
+    rows = [("hot", "a" if i % 3 else "b", i) for i in range(3000)] + [(f"k{i % 7}", None if i % 2 else "x", i) for i in range(70)] + [(None, "a", 1)] * 5
+    df = spark.createDataFrame(rows, "k string, s string, i int").repartition(5)
+    for parts in (1, 4, 16):
+        got = {r.key_id: (r.n, r.n_distinct) for r in k.per_key(df, "k", "s", parts, "i").collect()}
+        assert got == {"hot": (3000, 2), **{f"k{i}": (10, 2) for i in range(7)}}
+    sizes = df.where("k = 'hot'").repartitionByRange(8, "k", "s", "i").rdd.glom().map(len).collect()
+    assert max(sizes) < 1500
