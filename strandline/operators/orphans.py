@@ -210,13 +210,17 @@ def orphans(references: DataFrame, spans: DataFrame) -> DataFrame:
     refs = cut(_hashed(references.withColumn("repo_id", F.coalesce(F.col("repo_id").cast("string"), F.lit("")))))
     parents = cut(_hashed(_spans(spans.where("repo_id is not null and key is not null").withColumn("repo_id", F.col("repo_id").cast("string")))))
     n_refs, n_parents = refs.count(), parents.count()
-    ranges = max(1, -(-n_parents // PARENTS_PER_RANGE), -(-n_refs // REFERENCES_PER_BLOCK))
-    sizes = refs.groupBy(_range(ranges).alias("range")).agg(F.ceil(F.count("*") / REFERENCES_PER_BLOCK).cast("int").alias("blocks")).orderBy("range").collect()  # a row a range
-    first = np.cumsum([0, *(r["blocks"] for r in sizes)])
-    table = references.sparkSession.createDataFrame([(r["range"], r["blocks"], int(a)) for r, a in zip(sizes, first)], "range int, blocks int, first int")
-    dealt = refs.withColumn("range", _range(ranges)).join(table, "range").select((F.col("first") + F.pmod(F.xxhash64("table_name", "ref_id"), F.col("blocks"))).cast("int").alias("block"), "h", "space", "repo_id", "key", F.col("at").alias("since"), F.lit(None).cast("bigint").alias("until"), F.lit(None).cast("bigint").alias("first_end"), "table_name", "ref_id", "recorded_at")
-    copies = parents.withColumn("range", _range(ranges)).join(table, "range").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("block"), "h", "space", "repo_id", "key", F.col("born").alias("since"), F.col("died").alias("until"), "first_end", *(F.lit(None).cast(t).alias(c) for c, t in (("table_name", "string"), ("ref_id", "bigint"), ("recorded_at", "timestamp"))))
-    tasks = max(1, int(first[-1]))
+    ranges = max(1, -(-n_parents // PARENTS_PER_RANGE), -(-2 * n_refs // REFERENCES_PER_BLOCK))
+    # ranges that a hot key has filled get more blocks, numbered after those of all ranges; they are few, at most n_refs / REFERENCES_PER_BLOCK
+    hot = refs.groupBy(_range(ranges).alias("range")).agg(F.ceil(F.count("*") / REFERENCES_PER_BLOCK).cast("int").alias("blocks")).where("blocks > 1").orderBy("range").collect()
+    first = np.cumsum([ranges, *(r["blocks"] - 1 for r in hot)])
+    table = F.broadcast(references.sparkSession.createDataFrame([(r["range"], r["blocks"], int(a)) for r, a in zip(hot, first)], "range int, blocks int, first int"))
+    turn = F.pmod(F.xxhash64("table_name", "ref_id"), F.coalesce("blocks", F.lit(1)))
+    block = F.when(turn == 0, F.col("range")).otherwise(F.col("first") + turn - 1).cast("int")
+    blocks = F.concat(F.array("range"), F.when(F.col("blocks") > 1, F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 2)).otherwise(F.array().cast("array<int>")))
+    dealt = refs.withColumn("range", _range(ranges)).join(table, "range", "left").select(block.alias("block"), "h", "space", "repo_id", "key", F.col("at").alias("since"), F.lit(None).cast("bigint").alias("until"), F.lit(None).cast("bigint").alias("first_end"), "table_name", "ref_id", "recorded_at")
+    copies = parents.withColumn("range", _range(ranges)).join(table, "range", "left").select(F.explode(blocks).alias("block"), "h", "space", "repo_id", "key", F.col("born").alias("since"), F.col("died").alias("until"), "first_end", *(F.lit(None).cast(t).alias(c) for c, t in (("table_name", "string"), ("ref_id", "bigint"), ("recorded_at", "timestamp"))))
+    tasks = int(first[-1])
     sorted_ = dealt.unionByName(copies.withColumn("recorded_at", F.col("recorded_at").cast(dict(dealt.dtypes)["recorded_at"]))).repartitionById(tasks, "block").sortWithinPartitions("block", F.col("table_name").isNotNull(), "h", "key", "since")
     misses = sorted_.mapInPandas(_walk, f"table_name string, ref_id bigint, recorded_at {dict(dealt.dtypes)['recorded_at']}, reason string")
     return misses.dropDuplicates(["table_name", "ref_id", "recorded_at", "reason"])
