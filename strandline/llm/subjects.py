@@ -42,7 +42,7 @@ from .syntax import spread
 
 LABELS = 200_000
 MIN_SHARE, LEAST_DOCUMENTS, COMMON_SHARE, LANGUAGE_SIZE, VOCABULARY = 0.0002, 3, 0.12, 50, 30_000
-LEAVES, LEAF_SIZE, ITERATIONS, SEED = 512, 20, 6, 7
+LEAVES, LEAF_SIZE, ITERATIONS, SEED = 512, 20, 4, 7
 #: A leaf's terms are the TERMS most discriminative; its subject must hold LEAF_SHARE of their evidence, which
 #: must reach LEAF_COVERED of their weight.
 TERMS, LEAF_SHARE, LEAF_COVERED = 25, 0.5, 0.3
@@ -148,17 +148,26 @@ def agreements(p: np.ndarray, at: np.ndarray) -> list[tuple[int, bool]]:
     return [(int(at[starts[i]]), bool(own[i] == rest[i].argmax())) for i in np.flatnonzero(speaks)]
 
 
-def _spoken(terms: list[str], at: list[int], shares: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """Shares and sentences of a document's known terms, and the frames of its sentences."""
-    known, frames = [], {}
-    for w, a in zip(terms, at):
-        v = shares.get(w)
-        if v is not None:
-            known.append((v, a))
-        if v is None or v[:-1].max() < 0.5:
-            frames.setdefault(a, []).append(w)
-    ids = {a: xxhash.xxh64_intdigest(" ".join(f)) - 2**63 for a, f in frames.items() if len(f) >= FRAME}
-    return np.array([v for v, _ in known]), np.array([a for _, a in known], dtype=np.int64), ids
+class Shares:
+    """Shares of the subjects by term, and which terms belong to one subject."""
+
+    def __init__(self, rows: list[tuple[str, list[float]]]):
+        self.of = {term: i for i, (term, _) in enumerate(rows)}
+        self.rows = np.array([v for _, v in rows]) if rows else np.zeros((0, 1))
+        self.sure = frozenset(term for term, v in rows if max(v[:-1], default=0) >= 0.5)
+
+    def known(self, terms: list[str], at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Shares and sentences of the known ones of a document's terms."""
+        found = [(i, a) for i, a in zip(map(self.of.get, terms), at) if i is not None]
+        return self.rows[[i for i, _ in found]], np.array([a for _, a in found], dtype=np.int64)
+
+    def frames(self, terms: list[str], at: list[int]) -> dict[int, int]:
+        """The frames of a document's sentences of enough words."""
+        words: dict[int, list[str]] = {}
+        for w, a in zip(terms, at):
+            if w not in self.sure:
+                words.setdefault(a, []).append(w)
+        return {a: xxhash.xxh64_intdigest(" ".join(f)) - 2**63 for a, f in words.items() if len(f) >= FRAME}
 
 
 def _asides(leaves: DataFrame, shares) -> list[int]:
@@ -168,9 +177,11 @@ def _asides(leaves: DataFrame, shares) -> list[int]:
         for b in batches:
             rows = []
             for terms, at in zip(b["terms"], b["at"]):
-                p, places, frames = _spoken(terms, at, shares.value)
-                if len(p):
-                    rows += [(frames[a], ok) for a, ok in agreements(p, places) if a in frames]
+                terms, at = terms.tolist(), at.tolist()
+                votes = agreements(*shares.value.known(terms, at))
+                if votes:
+                    frames = shares.value.frames(terms, at)
+                    rows += [(frames[a], ok) for a, ok in votes if a in frames]
             yield pd.DataFrame(rows, columns=["frame", "agrees"])
 
     votes = leaves.select("terms", "at").mapInPandas(agree, "frame bigint, agrees boolean").groupBy("frame").agg(F.count("*").alias("n"), F.count_if("agrees").alias("agreeing"))
@@ -195,23 +206,24 @@ def assign(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFra
             yield b[[not known.value.isdisjoint(t) for t in b["terms"]]]
 
     leaves = _leaves(docs.mapInPandas(speaking, schema).drop("lang"), words)
-    vocabulary_ = spark.createDataFrame([(w,) for w in words], "term string")
+    vocabulary_ = F.broadcast(spark.createDataFrame([(w,) for w in words], "term string"))  # at most VOCABULARY rows
     uses = leaves.select("doc_id", "leaf", F.explode(F.array_distinct("terms")).alias("term")).join(vocabulary_, "term", "left_semi")
     by_leaf = cut(uses.groupBy("term", "leaf").agg(F.count("*").alias("n")))
     given = labels.select("doc_id", "subject").where(F.col("subject").isin(subjects)).distinct().orderBy("doc_id", "subject").limit(LABELS)
     given = given.join(given.groupBy("doc_id").agg(F.count("*").alias("k")), "doc_id")
     evidence = uses.join(given, "doc_id").groupBy("term", "subject").agg(F.sum(1 / F.col("k")).alias("n"))
     found = _shares(by_leaf, _named(by_leaf, evidence), subjects).collect()  # a row a vocabulary term
-    shares = spark.sparkContext.broadcast({r["term"]: np.array(r["shares"]) for r in found})
+    shares = spark.sparkContext.broadcast(Shares([(r["term"], r["shares"]) for r in found]))
     asides = spark.sparkContext.broadcast(frozenset(_asides(leaves, shares)))
 
     def decide(batches):
         for b in batches:
             rows = []
             for doc_id, terms, at in zip(b["doc_id"], b["terms"], b["at"]):
-                p, places, frames = _spoken(terms, at, shares.value)
+                terms, at = terms.tolist(), at.tolist()
+                p, places = shares.value.known(terms, at)
                 if asides.value and len(p):
-                    aside = [a for a, f in frames.items() if f in asides.value]
+                    aside = [a for a, f in shares.value.frames(terms, at).items() if f in asides.value]
                     p = p[~np.isin(places, aside)] if aside else p
                 if len(p):
                     rows += [(doc_id, s, float(x)) for s, x in zip(subjects, mixture(p)) if x >= SHARE and x * len(p) >= EVIDENCE]
