@@ -43,6 +43,12 @@ def _first(name: str, types: str, near: str, far: str, depth: int) -> str:
 {name}_one as (select root, node, min(depth) as depth, arg_min(best, depth) as best from {name}_all group by root, node having min(depth) > 0)"""
 
 
+def _half_even(x: str) -> str:
+    """x on one decimal, half to even, by its decimal digits as Spark does, not by its binary value."""
+    d = f"cast(cast({x} as varchar) as decimal(30, 15)) * 10"
+    return f"((floor({d}) + case when {d} - floor({d}) > 0.5 or {d} - floor({d}) = 0.5 and floor({d}) % 2 = 1 then 1 else 0 end) / 10)::double"
+
+
 _IMPACT, _EFFECT = "'CALLS', 'IMPORTS', 'EXTENDS', 'IMPLEMENTS'", "'CALLS', 'EXTENDS', 'IMPLEMENTS'"
 _CATEGORY = """case when lower(file_path) like '%test%' or starts_with(lower(name), 'test_') then 'TEST'
   when coalesce(is_entrypoint, false) or regexp_matches(lower(file_path), 'controller|route|api|cli|handler') then 'CRITICAL'
@@ -236,7 +242,7 @@ scored as (
   from sizes join spread using (root)),
 most as (select diff_id, count(*) as symbols, max(score) as highest from touched join scored on scored.root = touched.id group by diff_id),
 met as (select diff_id, count(*) as total_impacted from (select diff_id, id from touched union select t.diff_id, r.node from touched t join reached r on r.root = t.id) group by diff_id)
-select d.diff_id, coalesce(symbols, 0) as symbols, coalesce(case when symbols > 1 then least(100.0, round_even(highest * (1 + 0.1 * symbols), 1)) else highest end, 0)::double as score, coalesce(total_impacted, 0) as total_impacted
+select d.diff_id, coalesce(symbols, 0) as symbols, coalesce(case when symbols > 1 then least(100.0, {_half_even('highest * (1 + 0.1::double * symbols)')}) else highest end, 0)::double as score, coalesce(total_impacted, 0) as total_impacted
 from (select distinct diff_id from changed) d left join most using (diff_id) left join met using (diff_id)""",
     "dot_lines": f"""with {_GRAPH}
 select '  "' || replace(id, '"', '\\"') || '" [label="' || replace(name, '"', '\\"') || '\\n(' || kind || ')", fillcolor=' || case when is_entrypoint then 'salmon' when kind = 'class' then 'lightblue' else 'lightgray' end || '];' as line from nodes
