@@ -1,10 +1,11 @@
 """Results per key when a few keys hold most rows.
 
-Rows are range-partitioned on the composite (key, secondary order, row id): Spark samples quantiles of it, so a heavy key is cut across as many partitions as its rows need, even where its secondary values are few and a row id is given, and
-no task runs longer than the others. Each sorted partition is walked once in Arrow batches into one partial state a key: its rows, its
-distinct secondary values, and the first and last of these. A key's partials, of which only the first and last of a
-partition can have a sister elsewhere, are then stitched in the order of the partitions: a value that ends one partial and
-begins the next counts once.
+Rows are range-partitioned on the composite (key, secondary order, row id): Spark samples quantiles of it, so a heavy key
+is cut across as many partitions as its rows need, even where its secondary values are few and a row id is given, and no
+task runs longer than the others. Each sorted partition is walked once in Arrow batches into one partial state a key: its
+rows, its distinct secondary values, and the first and last of these. A key's partials, of which only the first and last of
+a partition can have a sister elsewhere, are then stitched in the order of the partitions: a value that ends one partial
+and begins the next counts once.
 
 Defined results: rows with a null key count towards the table's rows and to no key; a null secondary is one value of its
 own; ties in all three fall into one partition; an empty table gives no rows.
