@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.extraction import parse
 
@@ -14,29 +16,38 @@ SYMBOL = "struct<id:string,name:string,qualified_name:string,kind:string,file_pa
 IMPORT = "struct<source_module:string,imported_name:string,alias:string,line_number:int,is_wildcard:boolean>"
 CALL = "struct<caller_id:string,callee_name:string,line_number:int>"
 INHERIT = "struct<child_id:string,parent_name:string,relation:string>"
-SCHEMA = f"repo_id int, file_path string, symbols array<{SYMBOL}>, imports array<{IMPORT}>, calls array<{CALL}>, inheritance array<{INHERIT}>"
+PARTS = {"symbols": SYMBOL, "imports": IMPORT, "calls": CALL, "inheritance": INHERIT}
+#: Fixed value: files that are held as Python objects at once.
+FILES = 500
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for repo, path, text in zip(b["repo_id"], b["file_path"], b["content"]):
-            p = parse(path or "", text or "")
-            if p:
-                rows.append((repo, path, p.symbols, p.imports, p.calls, p.inheritance))
-        yield pd.DataFrame(rows, columns=["repo_id", "file_path", "symbols", "imports", "calls", "inheritance"])
+def extract(files: DataFrame, parts: Sequence[str] = tuple(PARTS)) -> DataFrame:
+    """One row a file of a known language, with an array a part; a file that does not parse keeps its module symbol."""
+    clean = files.select("repo_id", F.regexp_replace("file_path", r"^(\./)+", "").alias("file_path"), "content")
+    kind = StructType.fromDDL(", ".join(["repo_id int", "file_path string", *(f"{p} array<{PARTS[p]}>" for p in parts)]))
+    schema = to_arrow_schema(kind)
 
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES):
+                rows = []
+                for x in batch.slice(at, FILES).to_pylist():
+                    p = parse(x["file_path"] or "", x["content"] or "")
+                    if p:
+                        for s in p.symbols if "symbols" in parts else ():
+                            s["param_types"] = list(s["param_types"].items())  # as Arrow takes maps
+                        rows.append({"repo_id": x["repo_id"], "file_path": x["file_path"]} | {k: getattr(p, k) for k in parts})
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-def extract(files: DataFrame) -> DataFrame:
-    """One row a file of a known language, with four arrays; a file that does not parse keeps its module symbol."""
-    clean = files.select("repo_id", F.regexp_replace("file_path", r"^(\./)+", "").alias("file_path"), "content")
-    return clean.mapInPandas(_parse, SCHEMA)
+    return clean.mapInArrow(parsed, kind)
 
 
 def tables(extracted: DataFrame) -> dict[str, DataFrame]:
-    """symbols, imports, calls and inheritance with the numbers that the linking operators need: by path, then place."""
+    """The parts of what was extracted, with the numbers that the linking operators need: by path, then place."""
     out = {}
     for name, seq in (("symbols", "symbol_seq"), ("imports", "import_id"), ("calls", "call_id"), ("inheritance", "inherit_id")):
+        if name not in extracted.columns:
+            continue
         rows = extracted.select("repo_id", F.col("file_path").alias("_path"), F.posexplode(name).alias("_pos", "x"))
         # the rank of a file's path is replaced by its hash: order within a file is what linking needs to be exact
         number = (F.shiftleft(F.xxhash64("repo_id", "_path").bitwiseAND(F.lit(2**42 - 1)), 20) + F.col("_pos")).cast("bigint")

@@ -17,19 +17,19 @@ def _files(spark, d):
 
 
 def extracted_symbols(spark, d):
-    return tables(extract(_files(spark, d)))["symbols"].select("repo_id", "id", "kind", "line_start", "line_end", "is_exported", "is_entrypoint", "complexity")
+    return tables(extract(_files(spark, d), ["symbols"]))["symbols"].select("repo_id", "id", "kind", "line_start", "line_end", "is_exported", "is_entrypoint", "complexity")
 
 
 def extracted_imports(spark, d):
-    return tables(extract(_files(spark, d)))["imports"].drop("import_id")
+    return tables(extract(_files(spark, d), ["imports"]))["imports"].drop("import_id")
 
 
 def extracted_calls(spark, d):
-    return tables(extract(_files(spark, d)))["calls"].drop("call_id")
+    return tables(extract(_files(spark, d), ["calls"]))["calls"].drop("call_id")
 
 
 def extracted_inheritance(spark, d):
-    return tables(extract(_files(spark, d)))["inheritance"].drop("inherit_id")
+    return tables(extract(_files(spark, d), ["inheritance"]))["inheritance"].drop("inherit_id")
 
 
 def extracted_graph(spark, d):
