@@ -24,3 +24,9 @@ def test_calls_of_a_method_that_the_text_breaks_off(spark, tmp_path):
     assert calls(parse("A.java", JAVA)) == [("A.run", "all.forEach", 6), ("A.run", "helper", 6)]
     rows = query(spark, tmp_path, "extracted_calls", ("A.java", JAVA), ("D.java", "class D { void f() { g(); } }"))
     assert {(r.caller_id, r.callee_name) for r in rows} == {("A.java::A.run", "all.forEach"), ("A.java::A.run", "helper"), ("D.java::D.f", "g")}
+
+
+def test_imports_of_a_text_that_breaks_off(spark, tmp_path):
+    assert [i["source_module"] for i in parse("a.js", "import x from 'y';\nconst q = 1;\nfunction").imports] == ["y"]
+    rows = query(spark, tmp_path, "extracted_imports", ("A.java", JAVA), ("D.java", "import d.E;\nclass D { void f("), ("e.rs", "use m::n;\nfn f(mut: T) {}"))
+    assert {(r.file_path, r.source_module, r.imported_name) for r in rows} == {("A.java", "a.b", "C"), ("D.java", "d", "E"), ("e.rs", "m", "n")}
