@@ -30,3 +30,20 @@ def test_imports_of_a_text_that_breaks_off(spark, tmp_path):
     assert [i["source_module"] for i in parse("a.js", "import x from 'y';\nconst q = 1;\nfunction").imports] == ["y"]
     rows = query(spark, tmp_path, "extracted_imports", ("A.java", JAVA), ("D.java", "import d.E;\nclass D { void f("), ("e.rs", "use m::n;\nfn f(mut: T) {}"))
     assert {(r.file_path, r.source_module, r.imported_name) for r in rows} == {("A.java", "a.b", "C"), ("D.java", "d", "E"), ("e.rs", "m", "n")}
+
+
+def test_symbols_where_brackets_do_not_match(spark, tmp_path):
+    # one that is missing within the text ends with its indentation, one that is too many ends nothing
+    assert spans(parse("A.java", "class A {\n    void f() {\n        if (x) {\n            g();\n    }\n    void h() {\n        k(1;\n    }\n}\n")) == {"A": (1, 9), "A.f": (2, 5), "A.h": (6, 8)}
+    assert spans(parse("a.rs", "struct S {\n    x: u8,\nfn f() {\n    g();\n}\nfn h() {\n}\n")) == {"S": (1, 2), "f": (3, 5), "h": (6, 7)}
+    conflict = "class A {\n    void f() {\n<<<<<<< HEAD\n        if (a) {\n=======\n        if (b) {\n>>>>>>> main\n        }\n        g();\n    }\n    void h() {\n    }\n}\n"
+    assert spans(parse("A.java", conflict)) == {"A": (1, 13), "A.f": (2, 10), "A.h": (11, 12)}
+    rows = query(spark, tmp_path, "extracted_symbols", ("A.java", JAVA), ("a.js", "function"), ("b.rs", "fn f(mut: T) {}"))
+    assert {(r.id, r.line_start, r.line_end) for r in rows if r.kind != "module"} >= {("A.java::A", 4, 6), ("A.java::A.run", 5, 6), ("b.rs::f", 1, 1)}
+
+
+def test_symbols_of_deep_and_odd_texts(spark, tmp_path):
+    assert len(parse("A.java", "class A{" * 2000).symbols) == 2001
+    assert len(parse("a.py", "x = " + "-" * 200_000 + "1").symbols) == 1
+    rows = query(spark, tmp_path, "extracted_symbols", ("a.py", 'def f():\n    """\\ud800"""\n'), ("b.java", "class B {" * 600))
+    assert len(rows) == 603 and parse("a.py", 'def f():\n    """\\ud800"""\n').symbols[1]["docstring"] == "\\ud800"
