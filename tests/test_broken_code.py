@@ -47,3 +47,8 @@ def test_symbols_of_deep_and_odd_texts(spark, tmp_path):
     assert len(parse("a.py", "x = " + "-" * 200_000 + "1").symbols) == 1
     rows = query(spark, tmp_path, "extracted_symbols", ("a.py", 'def f():\n    """\\ud800"""\n'), ("b.java", "class B {" * 600))
     assert len(rows) == 603 and parse("a.py", 'def f():\n    """\\ud800"""\n').symbols[1]["docstring"] == "\\ud800"
+
+
+def test_inheritance_of_a_text_that_breaks_off(spark, tmp_path):
+    rows = query(spark, tmp_path, "extracted_inheritance", ("A.java", JAVA), ("D.java", "class D extends A { void f("))
+    assert {(r.child_id, r.parent_name, r.relation) for r in rows} == {("A.java::A", "B", "EXTENDS"), ("A.java::A", "I", "IMPLEMENTS"), ("D.java::D", "A", "EXTENDS")}
