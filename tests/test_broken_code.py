@@ -52,3 +52,8 @@ def test_symbols_of_deep_and_odd_texts(spark, tmp_path):
 def test_inheritance_of_a_text_that_breaks_off(spark, tmp_path):
     rows = query(spark, tmp_path, "extracted_inheritance", ("A.java", JAVA), ("D.java", "class D extends A { void f("))
     assert {(r.child_id, r.parent_name, r.relation) for r in rows} == {("A.java::A", "B", "EXTENDS"), ("A.java::A", "I", "IMPLEMENTS"), ("D.java::D", "A", "EXTENDS")}
+
+
+def test_graph_of_a_text_that_breaks_off(spark, tmp_path):
+    rows = query(spark, tmp_path, "extracted_graph", ("A.java", JAVA), ("H.java", "class H {\n    void helper() {\n    }\n}\n"))
+    assert any("A.java::A.run" in r and "H.java::H.helper" in r for r in map(tuple, rows))
