@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cycles, graph, link, quality
-from ..operators.extract import extract, tables
+from ..operators.extract import extract, linked, tables
 from ..session import cut, table
 from ..sources import export, scan
 from ..streaming import watch
@@ -35,8 +35,9 @@ def extracted_inheritance(spark, d):
 def extracted_graph(spark, d):
     """Edges linked from what the files themselves hold."""
     files = _files(spark, d)
-    parts = tables(cut(extract(files)))
-    return link.build(files, parts["symbols"], parts["imports"], parts["calls"], parts["inheritance"])
+    parts = tables(cut(linked(files)))
+    edges = link.build_extracted(files, *(parts[p] for p in ("symbols", "imports", "calls", "inheritance", "contained")))
+    return edges.select("repo_id", "dst", "src", "edge_type", "line_number")
 
 
 def content_hash(spark, d):
